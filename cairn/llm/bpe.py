@@ -318,7 +318,7 @@ def encode(docs: DataFrame, ranks_path: str, text_column: str = "text", others:
     rows = docs.select(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(others)), F.lit(0).alias("none")).alias("row"), F.col(text_column).cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("starts", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("starts", T.ArrayType(T.IntegerType()))
     out = rows.mapInArrow(run, schema)
     return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)), *(["n_tokens", "ids", "starts"] if with_ids else ["n_tokens"]), "ids_sha256", "decoded_sha256")
 

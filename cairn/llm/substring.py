@@ -89,7 +89,7 @@ class Automaton:
             if symbol in to[state]:
                 state = to[state][symbol]
                 matched += 1
-            while length[link[state]] >= width:
+            while state and length[link[state]] >= width:
                 state = link[state]
                 matched = length[state]
             if at >= width:
