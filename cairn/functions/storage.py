@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import os
+import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +24,43 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and outlives lost executors. It goes when Spark ends."""
+def written(df: DataFrame, release: bool = True) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts lineage and outlives lost executors. It goes when Spark ends.
+
+    release: the driver then collects its garbage (Python's first, which holds the JVM's), which lets Spark drop
+    the shuffle files of what is now written. Not worth it for small tables.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cairn-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        gc.collect()
+        for _ in range(2):  # the first lets go of what holds the plan
+            time.sleep(0.1)
+            spark._jvm.System.gc()
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cairn_path = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that written() made. Everything that reads it must be written itself by then."""
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(table._cairn_path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless their Python finds it anyway (by PYTHONPATH or as the working folder)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and os.path.realpath(p) == os.path.realpath(root) for p in found) or spark.sparkContext.applicationId in _shipped:
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="cairn-"), "cairn"), "zip", root, "cairn")
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(spark.sparkContext.applicationId)
+
+
+_shipped: set[str] = set()

@@ -1,30 +1,48 @@
-"""Connected components of an undirected graph, by least labels and pointer jumping."""
+"""Connected components of an undirected graph, by contraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.storage import written
+from cairn.functions.storage import drop
+from cairn.functions.storage import written as _written
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    return _written(df, release=False)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", jumps: int = 1, rounds: int = 100) -> DataFrame:
     """node, component: each node that an edge names, and the least node reachable from it.
 
-    Every round takes the least label among a node's neighbours, then the label of that label, so a
-    star settles in one round and a path of n nodes in about log n. Nothing is collected but a count.
-    Rows with a null end are ignored; loops make a node a component of its own.
+    In every round each node joins the least of its neighbours and itself, and whom that one joined, and
+    so on for 2 ** jumps steps; nodes that joined are contracted and edges inside a contracted node go.
+    The rounds are logarithmic and the edges shrink with them; a star is done in one. Nothing is
+    collected but whether edges are left. Rows with a null end are ignored; loops make a node a
+    component of its own.
     """
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    both = written(pairs.union(pairs.select("y", "x")).distinct())
-    labels = written(both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("label")))
+    pairs = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok")).where("ok").select("a", "b")
+    left = written(pairs.distinct())
+    labels = None
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("best"))
-        lower = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "best").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        fresh = written(lower.join(jump, "label").select("node", "old", F.least("label", "root").alias("label")))
-        changed = fresh.where("label < old").limit(1).count()
-        labels = fresh.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")
+        choice = written(left.select(ends).groupBy("e.x").agg(F.min("e.y").alias("y")).select("x", F.least("x", "y").alias("to")))
+        step = choice.select("x", F.col("to").alias("root"))
+        for _ in range(jumps):
+            step = step.join(step.select(F.col("x").alias("root"), F.col("root").alias("next")), "root").select("x", F.col("next").alias("root"))
+        step = written(step)
+        if labels is None:
+            fresh = written(step.select(F.col("x").alias("node"), F.col("root").alias("component")))
+        else:
+            fresh = written(labels.join(step.withColumnRenamed("x", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component")))
+            drop(labels)
+        labels = fresh
+        ra, rb = (step.select(F.col("x").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        fewer = written(left.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        for done in (left, choice, step):
+            drop(done)
+        left = fewer
+        if left.isEmpty():
+            return labels
     raise RuntimeError(f"not settled after {rounds} rounds")

@@ -1,0 +1 @@
+"""Nothing here streams: there are no windows, watermarks or unbounded sources to match. Queries are batch plans."""
