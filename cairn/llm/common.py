@@ -6,8 +6,6 @@ splitmix64. They depend on the input bytes alone, so they agree between executor
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.functions.storage import drop, written  # noqa: F401
+
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BREAKS = r"[\x20\x09-\x0D]+"
@@ -144,35 +144,23 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not own.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = own.get()
-    return folder
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and outlives lost executors. It goes when Spark ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+#: Surrogates for null ids: after all others, by a hash of the text.
+NULL_IDS = 9223372036854775807 - (1 << 40)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def own_id(id_column: str, text_column: str):
+    """The id as a long; a null one becomes a surrogate."""
+    return F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64(text_column), F.lit(1 << 39)))
 
 
-def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, text, key: rows that agree in doc_id and text share a key, others don't, so results can be joined back."""
-    return docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.xxhash64(F.col(id_column), F.col(text_column)).alias("key")
-    )
+def hash_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each codes[start:end], like hash_slices() but over 64-bit codes."""
+    up, down = _power_tables(len(codes))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * up[: len(codes)], out=total[1:])
+        return splitmix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * ODD)

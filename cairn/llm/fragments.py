@@ -3,10 +3,10 @@
 A window is a run of `window` symbols (words or bytes). Each window is named by its minimizer, the
 `gram` of it that hashes least (the leftmost of equals), so equal windows have equal minimizers
 wherever they stand. Consecutive windows with one minimizer form a fragment of fewer than
-2 * window symbols. Only minimizers that occur twice can hold a repeated window, so only their
-fragments move: they are dealt by minimizer, equal fragments are folded before they are dealt, and
-a kernel decides for each distinct fragment which of its windows repeat. About 2 / (window - gram + 2)
-minimizers arise for each symbol.
+2 * window symbols. Only minimizers that occur twice can hold a repeated window, so only the places of
+their fragments are kept, as numbers. Equal fragments (by 128 bits: minimizer and print) are folded, one
+example of each is cut out of its text and dealt by minimizer, and a kernel decides for each which of
+its windows repeat. About 2 / (window - gram + 2) minimizers arise for each symbol.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from cairn.llm import common
 
-LAST = 9223372036854775807
+LAST = common.NULL_IDS
+#: Stands for several documents of one batch.
+SEVERAL = -9223372036854775808
 
 
 @dataclass(frozen=True)
@@ -40,12 +42,12 @@ class Symbols:
         return at, at + 1, offsets
 
     def minimizers(self, data: np.ndarray, offsets: np.ndarray):
-        """For each fragment: the row it is in, its first window (counted in the row), its number of windows, its minimizer's hash."""
+        """For each fragment: the row it is in, its first window (counted in the row), its number of windows, its minimizer's hash, its print."""
         starts, ends, rows = self.cut(data, offsets)
         codes = common.hash_slices(data, starts, ends) if self.kind == "words" else common.BYTE_CODES[data]
         if len(codes) < self.window:
             none = np.zeros(0, np.int64)
-            return none, none, none, none
+            return none, none, none, none, none
         grams = common.hash_grams(codes, self.gram)
         # The upper half of the hash ranks; the lower half of the word is the place, so that the leftmost wins.
         ranked = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
@@ -54,30 +56,34 @@ class Symbols:
         at = np.flatnonzero(row[: len(least)] == row[self.window - 1 :])  # windows inside one row
         if not len(at):
             none = np.zeros(0, np.int64)
-            return none, none, none, none
+            return none, none, none, none, none
         first = np.ones(len(at), bool)
         first[1:] = (least[at[1:]] != least[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
         heads = np.flatnonzero(first)
         counts = np.diff(np.append(heads, len(at)))
         a = at[heads]
-        return row[a], a - rows[row[a]], counts, grams[least[a]].view(np.int64)
+        prints = common.hash_runs(codes, a, a + counts + self.window - 1)
+        return row[a], a - rows[row[a]], counts, grams[least[a]].view(np.int64), prints.view(np.int64)
 
 
-def _scan(symbols: Symbols, distinct: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scan(symbols: Symbols, distinct: bool, across: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text", 1 << 20):
             data, offsets = common.texts(batch.column("text"))
-            row, pos, n, mz = symbols.minimizers(data, offsets)
+            row, pos, n, mz, prints = symbols.minimizers(data, offsets)
             docs = np.asarray(batch.column("doc_id"))[row]
             if distinct:  # fold what one batch repeats, so that a hot minimizer sends few rows
                 order = np.lexsort((docs, mz))
                 mz, docs = mz[order], docs[order]
                 heads = np.flatnonzero(np.append(True, mz[1:] != mz[:-1])) if len(mz) else np.zeros(0, np.int64)
                 tails = np.append(heads[1:], len(mz)) - 1 if len(mz) else heads
-                yield pa.RecordBatch.from_arrays([pa.array(mz[heads]), pa.array(docs[heads]), pa.array(docs[tails]), pa.array((tails - heads + 1).astype(np.int64))], ["mz", "low", "high", "n"])
+                one = docs[heads] if across else tails - heads + 1
+                if across:
+                    one = np.where(docs[heads] == docs[tails], one, SEVERAL)
+                yield pa.RecordBatch.from_arrays([pa.array(mz[heads]), pa.array(one.astype(np.int64))], ["mz", "one"])
             else:
                 keys = np.asarray(batch.column("key"))[row]
-                yield pa.RecordBatch.from_arrays([pa.array(mz), pa.array(docs), pa.array(keys), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], ["mz", "doc_id", "key", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(mz), pa.array(prints), pa.array(docs), pa.array(keys), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], ["mz", "print", "doc_id", "key", "pos", "n"])
 
     return run
 
@@ -92,7 +98,7 @@ def _extract(symbols: Symbols):
             lists = batch.column("at")
             per = np.diff(np.asarray(lists.offsets))
             flat = lists.flatten()
-            pos, n, mz = (np.asarray(flat.field(i)) for i in range(3))
+            pos, n, mz, prints, low, times = (np.asarray(flat.field(i)) for i in range(6))
             row = np.repeat(np.arange(batch.num_rows), per)
             a = starts[rows[row] + pos]
             b = ends[rows[row] + pos + n + symbols.window - 2]
@@ -100,8 +106,7 @@ def _extract(symbols: Symbols):
             body = data[take]
             at = np.concatenate(([0], np.cumsum(b - a))).astype(np.int32)
             fragment = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body))])
-            docs, keys = np.asarray(batch.column("doc_id"))[row], np.asarray(batch.column("key"))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(keys), pa.array(pos), pa.array(mz), fragment], ["doc_id", "key", "pos", "mz", "fragment"])
+            yield pa.RecordBatch.from_arrays([pa.array(mz), pa.array(prints), pa.array(low), pa.array(times), fragment], ["mz", "print", "low", "n", "fragment"])
 
     return run
 
@@ -111,43 +116,43 @@ def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[list[t
     held: list[list[tuple]] = []
     size, last = 0, None
     for batch in batches:
-        cols = [batch.column(name).to_pylist() for name in ("mz", "fragment", "low", "n")]
-        for mz, fragment, low, n in zip(*cols, strict=True):
+        cols = [batch.column(name).to_pylist() for name in ("mz", "fragment", "low", "n", "print")]
+        for mz, fragment, low, n, name in zip(*cols, strict=True):
             if mz != last:
                 if size >= most:
                     yield held
                     held, size = [], 0
                 held.append([])
                 last = mz
-            held[-1].append((mz, fragment, low, n))
+            held[-1].append((mz, fragment, low, n, name))
             size += len(fragment)
     if held:
         yield held
 
 
-def repeated(docs: DataFrame, symbols: Symbols, across: bool, kernel, kernel_schema: str) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, verdicts). docs as keyed() gives them, doc_id not null. across: a repeat counts only in another doc_id.
+def repeated(docs: DataFrame, symbols: Symbols, across: bool, kernel, kernel_schema: str, of_verdict) -> DataFrame:
+    """doc_id, key, spans: a row for each document with something to remove; spans holds (pos, [first window, end, ...]).
 
-    occurrences: doc_id, key, pos (first window), mz, print; verdicts: what the kernel gives for each
-    distinct fragment (mz, print and more), from rows sorted by mz. (mz, print) names a fragment by 128 bits.
+    docs: doc_id, key, text; rows that agree in doc_id and key agree in text. across: a repeat counts only in another doc_id.
+    The kernel gives mz, print and more for each distinct fragment, from rows sorted by mz; of_verdict makes the runs of it.
     """
-    folded = docs.select("doc_id", "text").mapInArrow(_scan(symbols, True), "mz long, low long, high long, n long")
-    known = folded.groupBy("mz").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    known = known.filter("low < high" if across else "n > 1").select("mz")
-    found = docs.mapInArrow(_scan(symbols, False), "mz long, doc_id long, key long, pos int, n int").join(known, "mz")
-    at = found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "n", "mz")).alias("at"))
-    parts = docs.join(at, ["doc_id", "key"]).mapInArrow(_extract(symbols), "doc_id long, key long, pos int, mz long, fragment binary")
-    parts = common.written(parts)
-    distinct = parts.groupBy("mz", "fragment").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    dealt = distinct.repartition("mz").sortWithinPartitions("mz", "low", "fragment")
-    verdicts = dealt.mapInArrow(kernel, kernel_schema)
-    return parts.select("doc_id", "key", "pos", "mz", F.xxhash64("fragment").alias("print")), verdicts
-
-
-def spans(occurrences: DataFrame, verdicts: DataFrame, of_verdict) -> DataFrame:
-    """doc_id, key, spans: a row for each document with something to remove; spans holds [first window, end) pairs."""
-    joined = occurrences.join(verdicts, ["mz", "print"]).select("doc_id", "key", "pos", of_verdict.alias("runs"))
-    return joined.filter(F.size("runs") > 0).groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "runs")).alias("spans"))
+    folded = docs.select("doc_id", "text").mapInArrow(_scan(symbols, True, across), "mz long, one long")
+    if across:
+        known = folded.groupBy("mz").agg(F.min("one").alias("a"), F.max("one").alias("b")).where(f"a < b OR a = {SEVERAL}L")
+    else:
+        known = folded.groupBy("mz").agg(F.sum("one").alias("a")).where("a > 1")
+    known = common.written(known.select("mz"))  # as a table: Spark can then split what a hot minimizer joins
+    found = docs.mapInArrow(_scan(symbols, False), "mz long, print long, doc_id long, key int, pos int, n int")
+    places = common.written(found.join(known, "mz"))
+    common.drop(known)
+    # first() of each column takes them all from one row.
+    distinct = places.groupBy("mz", "print").agg(F.min(F.least("doc_id", F.lit(LAST))).alias("low"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("doc_id", "key", "pos", "n")))
+    at = distinct.groupBy("doc_id", "key").agg(F.collect_list(F.struct("pos", "n", "mz", "print", "low", "times")).alias("at"))
+    parts = docs.join(at, ["doc_id", "key"]).mapInArrow(_extract(symbols), "mz long, print long, low long, n long, fragment binary")
+    dealt = parts.repartition("mz").sortWithinPartitions("mz", "low", "print")
+    verdicts = common.written(dealt.mapInArrow(kernel, kernel_schema))
+    joined = places.join(verdicts, ["mz", "print"]).select("doc_id", "key", "pos", of_verdict.alias("runs"))
+    return joined.where(F.size("runs") > 0).groupBy("doc_id", "key").agg(F.collect_set(F.struct("pos", "runs")).alias("spans"))
 
 
 def covered(batch: pa.RecordBatch, rows: np.ndarray, window: int) -> np.ndarray:

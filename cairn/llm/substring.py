@@ -120,17 +120,17 @@ def least_labels(shard: list[tuple[list, int]], width: int, shard_bytes: int = S
 
 
 def _kernel(width: int, shard_bytes: int):
-    """Sorted distinct fragments become mz, fragment and the least doc_id of each window."""
+    """Sorted distinct fragments become mz, print and the least doc_id of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in fragments.groups(batches, 1 << 18):
-            mz, text, best = [], [], []
+            mz, name, best = [], [], []
             for group in held:
                 for row, labels in zip(group, least_labels([(r[1].split(), r[2]) for r in group], width, shard_bytes), strict=True):
                     mz.append(row[0])
-                    text.append(row[1])
+                    name.append(row[4])
                     best.append(labels)
-            yield pa.RecordBatch.from_arrays([pa.array(mz, pa.int64()), pa.array(text, pa.binary()), pa.array(best, pa.list_(pa.int64()))], ["mz", "fragment", "best"])
+            yield pa.RecordBatch.from_arrays([pa.array(mz, pa.int64()), pa.array(name, pa.int64()), pa.array(best, pa.list_(pa.int64()))], ["mz", "print", "best"])
 
     return run
 
@@ -149,13 +149,11 @@ def join_words(data, starts, ends, rows, keep) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, key, spans of the windows that an earlier document has too; docs as common.keyed() gives them, doc_id not null."""
+    """doc_id, key, spans of the windows that an earlier document has too; docs: doc_id (not null), key, text."""
     gram = min(gram, window)
     symbols = fragments.Symbols("words", window, gram)
-    found, verdicts = fragments.repeated(docs, symbols, True, _kernel(window, shard_bytes), "mz long, fragment binary, best array<long>")
-    verdicts = verdicts.select("mz", F.xxhash64("fragment").alias("print"), "best")
-    runs = F.expr("flatten(transform(filter(sequence(0, size(best) - 1), j -> best[j] < doc_id), j -> array(j, j + 1)))")
-    return fragments.spans(found, verdicts, runs)
+    runs = F.expr(f"flatten(transform(filter(sequence(0, size(best) - 1), j -> best[j] < least(doc_id, {fragments.LAST}L)), j -> array(j, j + 1)))")
+    return fragments.repeated(docs, symbols, True, _kernel(window, shard_bytes), "mz long, print long, best array<long>", runs)
 
 
 def _finish(window: int, keep_breaks: bool, with_text: bool):
@@ -195,8 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, id_column:
     a row for each row of docs. Windows are judged on the input. gram: words in a minimizer.
     """
     others = others or []
-    own = docs.select(F.col(id_column).cast("long").alias("own_id"), F.struct(F.col(id_column).alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others, 1))).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    own = own.select("row", "text", F.coalesce("own_id", F.lit(fragments.LAST)).alias("doc_id"), F.xxhash64("own_id", "text").alias("key"))
+    own = docs.select(common.own_id(id_column, text_column).alias("doc_id"), F.hash(id_column, text_column).alias("key"), F.struct(F.col(id_column).alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others, 1))).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     found = repeated_spans(own.select("doc_id", "text", "key"), window, gram)
     rows = own.join(found, ["doc_id", "key"], "left").select("row", "text", F.coalesce("spans", F.array().cast("array<struct<pos:int,runs:array<int>>>")).alias("spans"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())))])

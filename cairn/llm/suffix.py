@@ -199,7 +199,7 @@ def _kernel(window: int, shard_bytes: int):
             runs = [[0, len(r[1]) - window + 1] for r in easy]
             if rest:
                 runs += map(_runs, repeated_windows([r[1] for r in rest], [r[3] for r in rest], window, shard_bytes))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array(runs, pa.list_(pa.int32()))], ["mz", "fragment", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array(runs, pa.list_(pa.int32()))], ["mz", "print", "runs"])
 
     return run
 
@@ -234,12 +234,9 @@ def remove_repeats(docs: DataFrame, window: int = 200, gram: int = 24, id_column
     kept_sha256 and, with_text, kept (bytes), a row for each row of docs. window: 16 or more.
     """
     others = others or []
-    own = docs.select(F.col(id_column).cast("long").alias("own_id"), F.struct(F.col(id_column).alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others, 1))).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    own = own.select("row", "text", F.coalesce("own_id", F.lit(fragments.LAST)).alias("doc_id"), F.xxhash64("own_id", "text").alias("key"))
+    own = docs.select(common.own_id(id_column, text_column).alias("doc_id"), F.hash(id_column, text_column).alias("key"), F.struct(F.col(id_column).alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others, 1))).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     symbols = fragments.Symbols("bytes", window, min(gram, window))
-    found, verdicts = fragments.repeated(own.select("doc_id", "text", "key"), symbols, False, _kernel(window, shard_bytes), "mz long, fragment binary, runs array<int>")
-    verdicts = verdicts.select("mz", F.xxhash64("fragment").alias("print"), "runs")
-    spans = fragments.spans(found, verdicts, F.col("runs"))
+    spans = fragments.repeated(own.select("doc_id", "text", "key"), symbols, False, _kernel(window, shard_bytes), "mz long, print long, runs array<int>", F.col("runs"))
     rows = own.join(spans, ["doc_id", "key"], "left").select("row", "text", F.coalesce("spans", F.array().cast("array<struct<pos:int,runs:array<int>>>")).alias("spans"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType())))])
     out = rows.mapInArrow(_finish(window, with_text), schema)
