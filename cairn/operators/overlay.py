@@ -134,13 +134,19 @@ def clip_faces(faces: DataFrame, windows: DataFrame, size: float) -> DataFrame:
     """
     ends = lambda k: (F.least(*(F.col(f"{c}{k}") for c in "abc")), F.greatest(*(F.col(f"{c}{k}") for c in "abc")))
 
-    def binned(df: DataFrame) -> DataFrame:
+    def placed(df: DataFrame) -> DataFrame:
         (x0, x1), (y0, y1) = ends("x"), ends("y")
-        df = df.withColumns({"x0": F.floor(x0 / size), "y0": F.floor(y0 / size), "x1": F.floor(x1 / size), "y1": F.floor(y1 / size)})
+        return df.withColumns({"x0": F.floor(x0 / size), "y0": F.floor(y0 / size), "x1": F.floor(x1 / size), "y1": F.floor(y1 / size)})
+
+    def binned(df: DataFrame) -> DataFrame:
         return df.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1")))
 
-    f = binned(faces.select("fid", *(f"{c}{k}" for c in "abc" for k in "xyz"))).drop("x1", "y1")
-    w = binned(windows).drop("x1", "y1")
+    f = placed(faces.select("fid", *(f"{c}{k}" for c in "abc" for k in "xyz")))
+    # A window may be far larger than the surface; only squares that the surface reaches count.
+    reach = f.agg(F.min("x0").alias("fx0"), F.max("x1").alias("fx1"), F.min("y0").alias("fy0"), F.max("y1").alias("fy1"))
+    w = placed(windows).crossJoin(F.broadcast(reach))
+    w = w.withColumns({"x0": F.greatest("x0", "fx0"), "x1": F.least("x1", "fx1"), "y0": F.greatest("y0", "fy0"), "y1": F.least("y1", "fy1")}).where("x0 <= x1 AND y0 <= y1")
+    f, w = binned(f).drop("x1", "y1"), binned(w).drop("x1", "y1")
     w = w.select("feature", "tid", "gx", "gy", F.col("x0").alias("wx0"), F.col("y0").alias("wy0"), *(F.col(f"{c}{k}").alias(f"w{c}{k}") for c in "abc" for k in "xy"))
     met = f.join(w, ["gx", "gy"]).where((F.col("gx") == F.greatest("x0", "wx0")) & (F.col("gy") == F.greatest("y0", "wy0")))
 

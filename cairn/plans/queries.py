@@ -47,7 +47,7 @@ CLIPPED = _with(fx.CELLS, fx.SHAPES, EDGES, INSIDE)
 
 
 @query(CLIPPED + """SELECT feature, count(*) AS vertices, round(min(v), 6) AS min_mm, round(max(v), 6) AS max_mm, round(avg(v), 6) AS avg_mm
-FROM (SELECT feature, 2.0 + 0.002 * CASE WHEN z <= 0 THEN -50.0 ELSE z END AS v FROM inside JOIN grid USING (row, col)) GROUP BY feature""")
+FROM (SELECT feature, (2.0 + 0.002 * CASE WHEN z <= 0 THEN -50.0 ELSE z END)::DOUBLE AS v FROM inside JOIN grid USING (row, col)) GROUP BY feature""")
 def clip_seafill_vertex_stats(spark, sf_dir):
     cells = raster.clip(fx.grid(spark, sf_dir), fx.rings(spark))
     v = cells.select("feature", raster.surface_mm(raster.sea_fill(F.col("z").cast("double"), F.col("inside"))).alias("v")).where("v IS NOT NULL")
@@ -195,7 +195,7 @@ def albers_forward(spark, sf_dir):
 AF = {k: f"({v})" for k, v in fx.AFFINE.items()}
 
 
-@query(_with(PLACES) + f"""SELECT id, round(px, 6) AS px, round(py, 6) AS py, floor(r)::BIGINT AS row, floor(c)::BIGINT AS col, round(c * 0.25, 6) AS x_mm, round(r * 0.25, 6) AS y_mm, floor(floor(c) / 3)::BIGINT * 0.75::DOUBLE AS x_step_mm, floor(floor(r) / 3)::BIGINT * 0.75::DOUBLE AS y_step_mm
+@query(_with(PLACES) + f"""SELECT id, round(px::DOUBLE, 6) AS px, round(py::DOUBLE, 6) AS py, floor(r)::BIGINT AS row, floor(c)::BIGINT AS col, round(c * 0.25, 6) AS x_mm, round(r * 0.25, 6) AS y_mm, floor(floor(c) / 3)::BIGINT * 0.75::DOUBLE AS x_step_mm, floor(floor(r) / 3)::BIGINT * 0.75::DOUBLE AS y_step_mm
 FROM (SELECT id, {AF['c']} + lon * {AF['a']} + lat * {AF['b']} AS px, {AF['f']} + lon * {AF['d']} + lat * {AF['e']} AS py, ((lon + 0.3137 - {AF['c']}) * {AF['e']} - (lat + 0.7731 - {AF['f']}) * {AF['b']}) / ({AF['a']} * {AF['e']} - {AF['b']} * {AF['d']}) AS c, ((lat + 0.7731 - {AF['f']}) * {AF['a']} - (lon + 0.3137 - {AF['c']}) * {AF['d']}) / ({AF['a']} * {AF['e']} - {AF['b']} * {AF['d']}) AS r FROM pl)""")
 def affine_roundtrip(spark, sf_dir):
     key = F.col("c_custkey")
