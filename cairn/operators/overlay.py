@@ -245,7 +245,9 @@ def raised(soup: DataFrame, star: DataFrame, base: float, top: float, size: floa
 
     Outside the polygon the surface stays; inside it is cut along the same lines and lifted, so that both
     sides of the rim have the same points in the plane. Walls stand wherever the heights of the two sides
-    of an edge differ, and to the base where there is no other side.
+    of an edge differ, and to the base where there is no other side. The polygon must lie on the surface:
+    where it reaches beyond, it is cut off, and at the two points where it leaves, a wall from top to base
+    meets two walls one over the other, which checks for watertightness don't accept.
     """
     inside = clip_faces(soup, triangles(star), size).withColumn("z", F.lit(float(top)))
     outside = clip_faces(soup, triangles(star, around=1e4), size)
