@@ -1,13 +1,16 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is that of their hashes. It is cut into fragments, as many as the
-largest difference that two linked sets of a size class can have, and some more. Linked sets then
-agree in whole fragments, so the hash of a fragment's grams, with the fragment and the class, is a
-signature that both have: that finds all candidates, with no cap. (A set that leaves too many
-fragments empty also gives the grams of its prefix, which any linked set with the same lack shares.)
-Sets that are equal are folded first. Candidates are linked to the least of each signature, and the
-components of those links are the clusters in which linked sets must lie; a cluster's sets meet in
-blocks, where the overlaps in each fragment of the order are counted separately and summed per pair.
+The global order of n-grams is that of their hashes. It is cut into fragments, more of them than the
+largest difference that two linked sets of a size class can have. Linked sets then agree in `need` or
+more whole fragments, so the hash of a fragment's grams, with the fragment and the class, is a
+signature that both have: that finds all candidates, with no cap. A set of which fewer than `need`
+signatures occur in another set has no links and is put aside. What is left is cut again, into many
+more and smaller fragments, of which linked sets share far more than sets with a common passage do;
+that would be too much for all sets, and lets few go on by chance. (A set that leaves so many fragments empty that none is needed also gives the
+grams of its prefix, which any linked set with the same lack shares.) Sets that are equal are folded
+first. Candidates are linked to the least of each signature, and the components of those links are
+the clusters in which linked sets must lie; a cluster's sets meet in blocks, where the overlaps in
+each fragment of the order are counted separately and summed per pair.
 
 Defined cases: a null or wordless text has no set and no links; fewer than n words are one gram;
 rows that share an id count as linked; null ids come after all others and give a null component_id
@@ -28,8 +31,12 @@ from cairn.llm import common
 from cairn.operators.graph import components
 
 #: Sets and grams in one block of a cluster, about.
-BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 19
-NULL_IDS = 9223372036854775807 - (1 << 40)
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
+#: A gram of up to so many sets of a block adds to each pair of them; one of more goes through a matrix product.
+FEW = 32
+#: How many fragments more than the largest difference, in per cent, in the first and the second cut.
+COARSE, FINE = 15, 150
+NULL_IDS = common.NULL_IDS
 A, B, C = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -45,73 +52,111 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]
     return out
 
 
+def most_apart(size: int, num: int, den: int) -> int:
+    """The largest difference (grams in one set alone) of two linked sets, the smaller of `size` at most."""
+    return (den - num) * (den * size // num) // den
+
+
 @lru_cache(maxsize=8)
-def _classes(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
-    """Of each size class: the least size, the largest difference of linked sets whose smaller is in it, the fragments."""
+def _classes(num: int, den: int, more: int) -> tuple[list[int], list[int]]:
+    """Of each size class: the least size, and its fragments, by `more` per cent more than the largest difference."""
     low = [1]
     while low[-1] < 1 << 40:
-        low.append(max(low[-1] + 1, -(-low[-1] * 8 // 5)))
-    most = [(den - num) * (den * (high - 1) // num) // den for high in low[1:]]
-    return low, most, [d + 1 + -(-6 * d // 100) + 3 for d in most]
+        low.append(max(low[-1] + 1, low[-1] * 27 // 20))
+    apart = [most_apart(high - 1, num, den) for high in low[1:]]
+    return low, [d + -(-more * d // 100) + 3 if d else 0 for d in apart]
 
 
-def signatures(grams: np.ndarray, num: int, den: int) -> np.ndarray:
-    """What a set shares with every set (but an equal one) that it is linked to."""
-    low, most, cuts = _classes(num, den)
+def signatures(grams: np.ndarray, num: int, den: int, more: int = COARSE) -> list[tuple[int, int, np.ndarray]]:
+    """(class, need, signatures): in one class at least a linked set (but an equal one) has `need` of them too."""
+    low, cuts = _classes(num, den, more)
     size = len(grams)
     first, last = (int(np.searchsorted(low, x, "right")) - 1 for x in (-(-num * size // den), size))
     out = []
     with np.errstate(over="ignore"):
         mixed = common.splitmix(grams ^ A)
         for c in range(first, last + 1):
-            if not most[c]:
+            if not cuts[c]:
                 continue  # linked sets of this class are equal
             part = (grams >> np.uint64(32)) * np.uint64(cuts[c]) >> np.uint64(32)
             heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            out.append(common.splitmix(np.add.reduceat(mixed, heads) + part[heads] * B + np.uint64(c) * C))
-            if cuts[c] - len(heads) >= cuts[c] - most[c]:
-                out.append(common.splitmix(grams[: size - -(-num * size // den) + 1] ^ C))
-    return np.unique(np.concatenate(out)) if out else grams[:0]
+            found = common.splitmix(np.add.reduceat(mixed, heads) + part[heads] * B + np.uint64(c) * C)
+            need = len(heads) - min(most_apart(size, num, den), cuts[c])  # all fragments, less those empty, less those that differ
+            if need < 1:
+                found = np.append(found, common.splitmix(grams[: size - -(-num * size // den) + 1] ^ (C + np.uint64(c))))
+            out.append((c, max(1, need), np.unique(found)))
+    return out
+
+
+MARKS = "marks array<struct<class:int,need:int,sigs:array<long>>>"
 
 
-def _scan(n: int, num: int, den: int):
+def _scan(n: int, num: int, den: int, more: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
             sets = gram_sets(*common.texts(batch.column("text")), n)
-            sigs = [signatures(s, num, den) if len(s) else s for s in sets]
             with np.errstate(over="ignore"):
                 sums = [[int(common.splitmix(s ^ k).sum(dtype=np.uint64).view(np.int64)) for s in sets] for k in (B, C)]
-            at = np.concatenate(([0], np.cumsum([len(s) for s in sigs])))
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), lists], ["doc", "n", "s1", "s2", "sigs"])
+            found = [signatures(s, num, den, more) if len(s) else [] for s in sets]
+            flat = [x for y in found for x in y]
+            inner = np.concatenate(([0], np.cumsum([len(x[2]) for x in flat])))
+            sigs = np.concatenate([x[2] for x in flat]) if flat else np.zeros(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(sigs.view(np.int64)))
+            rows = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), lists], ["class", "need", "sigs"])
+            outer = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), outer], ["doc", "n", "s1", "s2", "marks"])
 
     return run
 
 
-def links(sets: list[np.ndarray], num: int, den: int, cells: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Pairs (i < j) of sets with den * intersection >= num * union. The order of grams is cut into fragments of bounded
-    width; each gives partial overlaps for all pairs of the block, which add up."""
+def prune(marked: DataFrame, rounds: int = 2) -> DataFrame:
+    """doc, class, need, sig: of rows (doc, marks), the signatures that several sets have, without sets that have too few. Written."""
+    sigs, kept = marked.select("doc", F.explode("marks").alias("m")).select("doc", "m.class", "m.need", F.explode("m.sigs").alias("sig")), None
+    for _ in range(rounds):
+        shared = common.written(sigs.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig"))
+        fewer = common.written(sigs.join(shared, "sig"))
+        enough = fewer.groupBy("doc", "class").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("doc", "class")
+        left = common.written(fewer.join(enough, ["doc", "class"]))
+        for done in (shared, fewer, kept):
+            if done is not None:
+                common.drop(done)
+        sigs = kept = left
+    return kept
+
+
+def links(sets: list[np.ndarray], num: int, den: int, width: int = 1 << 16, cells: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Pairs (i < j) of sets with den * intersection >= num * union. The order of grams is cut into fragments of `width`
+    grams; each gives partial overlaps for the pairs of the block, which add up."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     ids, at = np.unique(np.concatenate(sets), return_inverse=True)
     who = np.repeat(np.arange(m), sizes)
-    often = np.bincount(at) > 1  # a gram of one set adds to no overlap
-    keep = often[at]
-    at, who = (np.cumsum(often) - 1)[at[keep]], who[keep]
     order = np.argsort(at, kind="stable")
     at, who = at[order], who[order]
     overlap = np.zeros((m, m), np.float32)
-    width = max(64, cells // m)
-    for a in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+    flat = overlap.reshape(-1)
+    for a in range(0, len(ids), width):
         i, j = np.searchsorted(at, (a, a + width))
-        part = np.zeros((m, min(width, int(at[-1]) + 1 - a)), np.float32)
-        part[who[i:j], at[i:j] - a] = 1
-        overlap += part @ part.T
-    shared = overlap.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - shared
-    x, y = np.nonzero(np.triu(den * shared >= num * union, 1) & (union > 0))
-    yield from zip(x.tolist(), y.tolist(), strict=True)
+        gram, own = at[i:j] - a, who[i:j]
+        often = np.bincount(gram)
+        for d in np.unique(often[(often > 1) & (often <= FEW)]).tolist():
+            rows = own[(often == d)[gram]].reshape(-1, d)  # the sets of each such gram, ascending
+            x, y = np.triu_indices(d, 1)
+            np.add.at(flat, (rows[:, x] * m + rows[:, y]).reshape(-1), 1)
+        many = np.flatnonzero(often > FEW)
+        step = max(64, cells // m)
+        for k in range(0, len(many), step):
+            column = np.full(len(often), -1)
+            column[many[k : k + step]] = np.arange(len(many[k : k + step]))
+            inside = column[gram] >= 0
+            part = np.zeros((m, len(many[k : k + step])), np.float32)
+            part[own[inside], column[gram[inside]]] = 1
+            overlap += part @ part.T
+    for top in range(0, m, 256):  # so many rows of the table of pairs at a time
+        shared = overlap[top : top + 256].astype(np.int64)
+        union = sizes[top : top + 256, None] + sizes[None, :] - shared
+        x, y = np.nonzero((den * shared >= num * union) & (union > 0))
+        yield from ((i, j) for i, j in zip((x + top).tolist(), y.tolist(), strict=True) if i < j)
 
 
 def _forest(docs: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -155,19 +200,25 @@ def _verify(n: int, num: int, den: int):
 
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """id_column, n_shingles, component_id, a row for each row of docs; two link when den * intersection >= num * union."""
-    own = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_IDS) + F.pmod(F.xxhash64(text_column), F.lit(1 << 39))).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    sets = common.written(own.mapInArrow(_scan(n, num, den), "doc long, n long, s1 long, s2 long, sigs array<long>"))
+    own = docs.select(common.own_id(id_column, text_column).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    sets = common.written(own.mapInArrow(_scan(n, num, den, COARSE), f"doc long, n long, s1 long, s2 long, {MARKS}"))
     same = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
     # One row for each distinct set; its least id stands for all of them.
-    named = sets.select("doc", "n", "s1", "s2").join(same, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
-    named = common.written(named)
+    named = common.written(sets.select("doc", "n", "s1", "s2").join(same, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
     firsts = named.where("n > 0 AND doc = rep").select("doc").distinct()
-    sigs = sets.join(firsts, "doc", "left_semi").select("doc", F.explode("sigs").alias("sig"))
-    least = sigs.groupBy("sig").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("sig", "a")
-    near = sigs.join(least, "sig").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+    coarse = prune(sets.select("doc", "marks"))  # copies too: they fold by signature, which costs less than to join them out
+    common.drop(sets)
+    live = own.join(coarse.select("doc").distinct().join(firsts, "doc"), "doc")
+    live = common.written(live)
+    common.drop(coarse)
+    fine = prune(live.mapInArrow(_scan(n, num, den, FINE), f"doc long, n long, s1 long, s2 long, {MARKS}").select("doc", "marks"))
+    least = common.written(fine.groupBy("sig").agg(F.min("doc").alias("a")))
+    near = common.written(fine.join(least, "sig").where("doc <> a").select("a", F.col("doc").alias("b")).distinct())
+    for done in (fine, least):
+        common.drop(done)
     clusters = components(near).withColumnRenamed("node", "doc").withColumnRenamed("component", "cluster")
-    sizes = sets.join(clusters, "doc").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_grams)).cast("int").alias("blocks"))
-    members = own.join(clusters.join(sizes, "cluster"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    sizes = named.select("doc", "n").distinct().join(clusters, "doc").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_grams)).cast("int").alias("blocks"))
+    members = live.join(clusters.join(sizes, "cluster"), "doc").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     # A cluster of one block meets once; a larger one in each pair of its blocks, so that no pair of sets is lost.
     members = members.select("doc", "text", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     members = members.select("doc", "text", "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
