@@ -133,7 +133,7 @@ def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[list[t
 def repeated(docs: DataFrame, symbols: Symbols, across: bool, kernel, kernel_schema: str, of_verdict) -> DataFrame:
     """doc_id, key, spans: a row for each document with something to remove; spans holds (pos, [first window, end, ...]).
 
-    docs: doc_id, key, text; rows that agree in doc_id and key agree in text. across: a repeat counts only in another doc_id.
+    docs: doc_id (not null), key, text; rows that agree in doc_id and key agree in text. across: a repeat counts only in another doc_id.
     The kernel gives mz, print and more for each distinct fragment, from rows sorted by mz; of_verdict makes the runs of it.
     """
     folded = docs.select("doc_id", "text").mapInArrow(_scan(symbols, True, across), "mz long, one long")

@@ -12,7 +12,7 @@ bits of their order, the ranges' sums are added up, and only a range's own docum
 
 Defined cases: a null text has no tokens; null domain, language or source is the name ''; nodes
 without a weight have default_weight; negative weights count as 0 and get nothing; repeated rows are
-documents of their own, ordered by their ids, texts and arrival; a document without tokens is in a
+documents of their own, ordered by id, tokens and a hash of the row; a document without tokens is in a
 prefix if those before it fit; an empty table gives an empty result; other columns are kept.
 """
 
