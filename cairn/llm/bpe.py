@@ -38,7 +38,7 @@ LAST_SPACE, LAST_WS, INNER_WS, SHORT, LONG = 3, 4, 5, 6, 7
 FRESH, IN_L, IN_N, IN_O, IN_WS, PREFIX, ONE_MORE, TWO_MORE = range(8)
 
 #: Slices that the cache holds at most, and the longest slice that it and the joint merging take.
-CACHE, LONGEST = 150_000, 48
+CACHE, LONGEST = 100_000, 48
 
 
 def code_point_classes() -> np.ndarray:
@@ -303,7 +303,7 @@ def encode(docs: DataFrame, ranks_path: str, text_column: str = "text", others:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path, ranks)
-        for batch in common.pieces(batches, "text", 1 << 20):
+        for batch in common.pieces(batches, "text"):
             data, offsets = common.texts(batch.column("text"))
             ids, places, rows = codec.encode(data, offsets)
             body, raw = codec.decode(ids).tobytes(), ids.astype("<u4").tobytes()

@@ -105,7 +105,7 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - offsets[0]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that the column's bytes in each stay under most, or it is one row."""
     for batch in batches:
         _, offsets = texts(batch.column(column))
