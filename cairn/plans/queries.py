@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import geometry as g
 from cairn.functions import tiles
+from cairn.functions.storage import written
 from cairn.operators import checks, mesh, overlay, raster, vector
 from cairn.params import DEFAULT
 from cairn.plans import fixtures as fx
@@ -629,14 +630,16 @@ def prism_clip_area(spark, sf_dir):
     return area.crossJoin(sound.select("is_volume"))
 
 
+def _whole_solid(spark, sf_dir):
+    """mesh_id, ax to cz: the solid under all N x N cells; those without lines lie at 0."""
+    full = raster.grid(N, N, spark).join(fx.grid(spark, sf_dir).select("row", "col", "z"), ["row", "col"], "left").withColumn("z", F.coalesce("z", F.lit(0)))
+    faces = mesh.solid_faces(mesh.surface_faces(full, N), N * N).withColumn("fid", F.monotonically_increasing_id())
+    return mesh.with_corners(faces, mesh.solid_vertices(mesh.surface_vertices(full, N), N * N)).withColumn("mesh_id", F.lit("m"))
+
+
 @query(QUADS + " SELECT true AS reached, true AS is_volume")
 def decimate_mesh(spark, sf_dir):
-    cells = fx.grid(spark, sf_dir).where("row < 12 AND col < 12 AND n > 0")
-    full = raster.grid(12, 12, spark).join(cells.select("row", "col", "z"), ["row", "col"], "left").withColumn("z", F.coalesce("z", F.lit(0)))
-    top, v = mesh.surface_faces(full, 12), mesh.surface_vertices(full, 12)
-    faces = mesh.solid_faces(top, 144).withColumn("fid", F.monotonically_increasing_id())
-    soup = mesh.with_corners(faces, mesh.solid_vertices(v, 144)).withColumn("mesh_id", F.lit("m"))
-    small = overlay.decimate(soup, target=200)
+    small = written(overlay.decimate(_whole_solid(spark, sf_dir), target=200))
     corner = lambda c: F.xxhash64(*(F.round(f"{c}{k}", 9) for k in "xyz")).alias(c)
     return small.agg((F.count("*") <= 200).alias("reached")).crossJoin(mesh.soundness(small.select(corner("a"), corner("b"), corner("c"))).select("is_volume"))
 

@@ -3,6 +3,7 @@ import math
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from cairn.operators import checks, kernels, mesh, overlay, raster, vector
 from cairn.operators.graph import components
 from cairn.params import DEFAULT
 from cairn.plans import fixtures as fx
-from cairn.plans import terrain
+from cairn.plans import queries, terrain
 from cairn.sources import formats
 
 
@@ -251,3 +252,21 @@ def test_checks(spark):
     circle = [("C", 0, 0, i, math.cos(2 * math.pi * i / 64) * 9, math.sin(2 * math.pi * i / 64) * 9) for i in range(64)]
     assert not checks.stair_steps(g.edges(fx.rings(spark, circle))).first().is_aliased
     assert checks.axis_aligned(g.edges(fx.rings(spark, circle))).first().is_smooth
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_decimate_mesh_takes_the_whole_grid(spark, monkeypatch, sf):
+    sf_dir, seen = f"/root/testdata/{sf}", []
+    run = overlay.decimate
+    monkeypatch.setattr(queries.overlay, "decimate", lambda soup, *a, **k: seen.extend([soup, run(soup, *a, **k)]) or seen[1])
+    got = queries.decimate_mesh(spark, sf_dir).first()
+    assert got.reached and got.is_volume
+    n, low, high = duckdb.sql(f"SELECT count(*), min(z), max(z) FROM ({fx.GRID.replace('lineitem', repr(sf_dir + '/lineitem.parquet'))})").fetchall()[0]
+    if n < fx.SIDE**2:
+        low, high = min(low, 0), max(high, 0)
+    ends = [f(F.least(*(f"{c}{k}" for c in "abc")) if f is F.min else F.greatest(*(f"{c}{k}" for c in "abc"))) for f in (F.min, F.max) for k in "xyz"]
+    before, after = (df.agg(F.count("*"), *ends).first() for df in seen)
+    side = (fx.SIDE - 1) * DEFAULT.mm_per_pixel
+    assert before[0] == 4 * (fx.SIDE - 1) ** 2 + 8 * (fx.SIDE - 1) == 16380
+    assert low < 0 and np.allclose(before[1:], [0, 0, 0, side, side, 2 + 0.002 * high])
+    assert 0 < after[0] <= 200 and np.allclose(after[1:6], before[1:6]) and 2 + 0.002 * low <= after[6] <= before[6]
