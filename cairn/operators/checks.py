@@ -25,7 +25,7 @@ def overlap(boundary: DataFrame, footprint: DataFrame, p: Params = DEFAULT) -> D
 
 def best_shift(boundary: DataFrame, footprint: DataFrame, reach: int) -> DataFrame:
     """feature, dx, dy, covered: the whole-cell shift of the boundary, up to reach either way, that covers most of it; the first
-    in the order of dx, then dy, wins. The footprint would move the other way.
+    in the order of dx, then dy, wins. The footprint would move the other way. A feature that no shift covers keeps (0, 0).
 
     A cell of one meets a cell of the other in just one shift, so one equi-join by row bands counts all
     shifts, and nothing is laid over anything 61 x 61 times.
@@ -33,7 +33,8 @@ def best_shift(boundary: DataFrame, footprint: DataFrame, reach: int) -> DataFra
     a = boundary.select("feature", "row", F.col("col").alias("ac")).withColumn("dy", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).select("feature", (F.col("row") + F.col("dy")).alias("row"), "ac", "dy")
     b = footprint.select("feature", "row", F.col("col").alias("bc"))
     hits = a.join(b, ["feature", "row"]).withColumn("dx", F.col("bc") - F.col("ac")).where(F.col("dx").between(-reach, reach)).groupBy("feature", "dx", "dy").agg(F.count("*").alias("covered"))
-    return hits.groupBy("feature").agg(F.max(F.struct("covered", (-F.col("dx")).alias("x"), (-F.col("dy")).alias("y"))).alias("m")).select("feature", (-F.col("m.x")).alias("dx"), (-F.col("m.y")).alias("dy"), F.col("m.covered").alias("covered"))
+    best = hits.groupBy("feature").agg(F.max(F.struct("covered", (-F.col("dx")).alias("x"), (-F.col("dy")).alias("y"))).alias("m")).select("feature", (-F.col("m.x")).alias("dx"), (-F.col("m.y")).alias("dy"), F.col("m.covered").alias("covered"))
+    return boundary.select("feature").distinct().join(best, "feature", "left").select("feature", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dx", "dy", "covered")))
 
 
 def directions(edges: DataFrame, least: float = 0.1, tolerance: float = 5.0) -> DataFrame:

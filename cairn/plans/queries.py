@@ -562,7 +562,7 @@ def coverage_missing_extra(spark, sf_dir):
 
 @query(SHIFTED + ", h AS (SELECT i.feature, f.col - i.col AS dx, f.row - i.row AS dy, count(*) AS covered FROM inside i JOIN foot f ON f.feature = i.feature AND f.col - i.col BETWEEN -3 AND 3 AND f.row - i.row BETWEEN -3 AND 3 GROUP BY 1, 2, 3) SELECT feature, dx::INT AS dx, dy::INT AS dy, covered FROM h QUALIFY row_number() OVER (PARTITION BY feature ORDER BY covered DESC, dx, dy) = 1")
 def alignment_grid_search(spark, sf_dir):
-    return checks.best_shift(_cells(spark), _footprint(spark), 3)
+    return checks.best_shift(_cells(spark), _footprint(spark), 30)
 
 
 STEPS = _with(fx.values("rings", [*fx.STAIRS, *fx.RINGS], fx.RING_COLUMNS), EDGES) + """, a AS (SELECT *, ((degrees(atan2(y2 - y, x2 - x)) % 360) + 360) % 360 AS angle, sqrt((x2 - x) ** 2 + (y2 - y) ** 2) AS len FROM edges), d AS (SELECT *, CASE WHEN angle < 5 OR angle > 355 OR abs(angle - 180) < 5 THEN 'H' WHEN abs(angle - 90) < 5 OR abs(angle - 270) < 5 THEN 'V' END AS way FROM a)"""

@@ -270,3 +270,15 @@ def test_decimate_mesh_takes_the_whole_grid(spark, monkeypatch, sf):
     assert before[0] == 4 * (fx.SIDE - 1) ** 2 + 8 * (fx.SIDE - 1) == 16380
     assert low < 0 and np.allclose(before[1:], [0, 0, 0, side, side, 2 + 0.002 * high])
     assert 0 < after[0] <= 200 and np.allclose(after[1:6], before[1:6]) and 2 + 0.002 * low <= after[6] <= before[6]
+
+
+def test_alignment_searches_thirty_cells_each_way(spark, sf_dir, monkeypatch):
+    cells = lambda rows: spark.createDataFrame(rows, "feature string, row int, col int")
+    block = [(r, c) for r in range(31, 35) for c in range(31, 36)]
+    moves = {"far": (17, -30), "near": (-1, 2), "beyond": (31, 31)}
+    boundary = [(f, r, c) for f in (*moves, "none") for r, c in block]
+    footprint = [(f, r + dy, c + dx) for f, (dx, dy) in moves.items() for r, c in block if f != "beyond"] + [("beyond", 200, 200)]
+    monkeypatch.setattr(queries, "_cells", lambda _: cells(boundary))
+    monkeypatch.setattr(queries, "_footprint", lambda _: cells(footprint))
+    got = {r.feature: (r.dx, r.dy, r.covered) for r in queries.alignment_grid_search(spark, sf_dir).collect()}
+    assert got == {"far": (17, -30, 20), "near": (-1, 2, 20), "beyond": (0, 0, 0), "none": (0, 0, 0)}
