@@ -205,8 +205,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, id_column:
 REFERENCE_BYTES = 1 << 24
 
 
-def reference_matches(docs: DataFrame, reference: DataFrame, window: int = 13, id_column: str = "doc_id", text_column: str = "text", reference_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, n_matched: words of each document in a window that the reference has too.
+def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 13, id_column: str = "doc_id", text_column: str = "text", reference_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, spans, kept_text: each document without the words in a window that the reference has too.
+    spans are the maximal runs removed, (first, last) by words from 0; the words kept are joined by blanks.
 
     The reference's size is measured first; beyond REFERENCE_BYTES this raises ValueError, and
     remove_repeats() on the union of both is the way. Its automata are broadcast by shards.
@@ -233,7 +234,7 @@ def reference_matches(docs: DataFrame, reference: DataFrame, window: int = 13, i
                     built[-1].add(sequence, 0)
                 built[-1].settle()
         for batch in batches:
-            total, matched = [], []
+            total, removed, spans, kept = [], [], [], []
             for text in batch.column("text").to_pylist():
                 sequence = (text or "").encode().split()
                 hit = np.zeros(len(sequence) + 1, np.int64)
@@ -242,8 +243,18 @@ def reference_matches(docs: DataFrame, reference: DataFrame, window: int = 13, i
                         if low == 0:
                             hit[j] += 1
                             hit[j + window] -= 1
+                gone = np.cumsum(hit)[:-1] > 0
+                turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2)
                 total.append(len(sequence))
-                matched.append(int((np.cumsum(hit) > 0).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(matched, pa.int64())], ["doc_id", "n_words", "n_matched"])
+                removed.append(int(gone.sum()))
+                spans.append([{"first": int(i), "last": int(j) - 1} for i, j in turns])
+                kept.append(b" ".join(w for w, g in zip(sequence, gone, strict=True) if not g).decode())
+            span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
+
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept_text string")
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, n_words long, n_matched long")
+
+def reference_matches(docs: DataFrame, reference: DataFrame, window: int = 13, id_column: str = "doc_id", text_column: str = "text", reference_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_words, n_matched: what remove_reference() would take from each document, counted."""
+    return remove_reference(docs, reference, window, id_column, text_column, reference_text, shard_bytes).select("doc_id", "n_words", F.col("n_removed").alias("n_matched"))

@@ -119,3 +119,13 @@ def test_hot_groups_stay_whole(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = substring.remove_repeats(docs, with_text=False).agg(F.sum("n_removed")).first()[0]
     assert got == 299 * 30
+
+
+def test_reference_spans_are_removed(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1, "a " + " ".join(words[:15]) + " b  c " + " ".join(words[15:28])), (2, " ".join(words[:12])), (3, None), (4, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ref = spark.createDataFrame([(" ".join(words[:16]),), (" ".join(words[10:]),)], "text string")
+    for shard_bytes in (1, 1 << 19):
+        got = {r.doc_id: (r.n_words, r.n_removed, [tuple(s) for s in r.spans], r.kept_text) for r in substring.remove_reference(docs, ref, shard_bytes=shard_bytes).collect()}
+        assert got == {1: (31, 28, [(1, 15), (18, 30)], "a b c"), 2: (12, 0, [], " ".join(words[:12])), 3: (0, 0, [], ""), 4: (30, 30, [(0, 29)], "")}
