@@ -1,11 +1,11 @@
 """The pipeline's stages, each on what its predecessor kept, against brute force."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
 from cairn.llm import common, mixing
 from tests.llm.test_substrings import brute_words
-from tests.llm.test_texts import brute_components
+from tests.llm.test_texts import brute_budget, brute_components
 
 
 def test_stages_against_brute_force(spark):
@@ -46,3 +46,27 @@ def test_stages_against_brute_force(spark):
             want = {d: own.encode_ordinary(t or "") for d, t in rows}
             assert {r.doc_id: r.ids for r in docs.collect()} == want
     assert kept[0] > kept[1] >= kept[3] and kept[1] == kept[2] and kept[3] == kept[4]
+
+
+def test_mix_against_budgets_by_leaf(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    leaf = [mixing.domain_of(docs["source"]).alias("domain"), "lang", "source", mixing.tokens(docs["text"]).alias("n")]
+    size, taken, longest = defaultdict(int), defaultdict(int), defaultdict(int)
+    for *k, n in docs.select(*leaf).collect():
+        k = tuple(x or "" for x in k)
+        size[k] += n
+        longest[k] = max(longest[k], n)
+    got = cp.mix_sources(spark, docs, "/root/testdata/sf0.01")
+    for *k, n in got.select(mixing.domain_of(got["source"]), "lang", "source", mixing.tokens(got["text"])).collect():
+        taken[tuple(x or "" for x in k)] += n
+    total = int(sum(size.values()) * cp.MIX_SHARE)
+    level = {(): total}
+    for depth in (1, 2, 3):
+        down = {}
+        for up, b in level.items():
+            below = {k[:depth] for k in size if k[: depth - 1] == up}
+            down |= brute_budget(b, {k: (mixing.WEIGHTS.get("/".join(k), 1), sum(v for x, v in size.items() if x[:depth] == k)) for k in below})
+        level = down
+    assert set(level) == set(size) and sum(level.values()) <= total
+    for k, b in level.items():
+        assert taken[k] == b if b == size[k] else b - longest[k] < taken[k] <= b, k
