@@ -282,3 +282,32 @@ def test_alignment_searches_thirty_cells_each_way(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(queries, "_footprint", lambda _: cells(footprint))
     got = {r.feature: (r.dx, r.dy, r.covered) for r in queries.alignment_grid_search(spark, sf_dir).collect()}
     assert got == {"far": (17, -30, 20), "near": (-1, 2, 20), "beyond": (0, 0, 0), "none": (0, 0, 0)}
+
+
+def test_smoothing_with_production_kernels(spark):
+    """Radius 40 and 18 over 64 x 64 cells, where one cell is mirrored at both rims; only small components differ from DEFAULT."""
+    n, p = fx.SIDE, DEFAULT.with_(min_component_pixels=50)
+    grid = fx.grid(spark, "/root/testdata/sf0.01").select("row", "col", F.when(F.col("n") % 5 < 3, F.col("z")).otherwise(0).cast("double").alias("z")).localCheckpoint()
+
+    def blur(z, sigma):
+        w = raster.kernel(sigma)
+        r = len(w) // 2
+        for axis in (0, 1):
+            padded = np.pad(z, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+            z = sum(w[k] * np.take(padded, range(k, k + n), axis) for k in range(len(w)))
+        return z
+
+    z, mask = np.zeros((n, n)), np.zeros((n, n))
+    for r in grid.collect():
+        z[r.row, r.col] = r.z
+    for r in raster.fill_holes(raster.large_components(raster.label(grid.where("z <> 0"), n), 50), n, n).collect():
+        mask[r.row, r.col] = 1
+    inside = blur(mask, 10.0) > 0.3
+    raw = np.where(z <= 0, -50.0, z)
+    near = blur(np.where(inside, raw, 0), 4.5) / np.maximum(blur(inside.astype(float), 4.5), 1e-300)
+    want = np.where(raw - near > 50, 0.8 * raw + 0.2 * near, 0.6 * near + 0.4 * raw)
+    got = np.full((n, n), np.nan)
+    for r in raster.smooth(grid, n, n, p).where("z IS NOT NULL").collect():
+        got[r.row, r.col] = r.z
+    assert len(raster.kernel(p.mask_sigma)) == 81 and len(raster.kernel(p.dem_sigma)) == 37 and inside.sum() > 2000
+    assert (np.isnan(got) == ~inside).all() and np.allclose(got[inside], want[inside], atol=1e-6)
