@@ -2,42 +2,46 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new temporary one, but on one machine only: executors
+    of a cluster don't see each other's."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not own.isDefined():
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = own.get()
     return folder
 
 
-def written(df: DataFrame, release: bool = True) -> DataFrame:
+#: Has Spark delete a query's shuffle files as soon as the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts lineage and outlives lost executors. It goes when Spark ends.
 
-    release: the driver then collects its garbage (Python's first, which holds the JVM's), which lets Spark drop
-    the shuffle files of what is now written. Not worth it for small tables.
+    The shuffle files of the query that writes it go when it is written: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        gc.collect()
-        for _ in range(2):  # the first lets go of what holds the plan
-            time.sleep(0.1)
-            spark._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     table = spark.read.schema(df.schema).parquet(path)

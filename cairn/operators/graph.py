@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.storage import drop
-from cairn.functions.storage import written as _written
-
-
-def written(df: DataFrame) -> DataFrame:
-    return _written(df, release=False)
+from cairn.functions.storage import drop, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", jumps: int = 1, rounds: int = 100) -> DataFrame:
