@@ -1,11 +1,13 @@
 """Helpers that the operators of this subpackage share.
 
-Hashes here are 64-bit polynomial hashes over uint64 arithmetic that wraps, finished by
-splitmix64. They depend on the input bytes alone, so they agree between executors and runs.
+Hashes here are 64 bits wide and fold eight bytes (or one code) at a time by multiplications with
+shifts in between, so they aren't linear modulo 2**64: polynomial hashes there are, and collide on
+texts that are easy to build. They depend on the input bytes alone, so executors and runs agree.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +27,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-BASE = np.uint64(0xD1342543DE82EF95)
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -37,46 +38,83 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-BYTE_CODES = splitmix(np.arange(256, dtype=np.uint64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Slices beyond so many bytes are hashed by BLAKE2b, one at a time.
+LONG = 512
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i <= n, modulo 2**64; kept up to 4 million."""
-    if len(_powers[0]) > n:
-        return _powers[0][: n + 1], _powers[1][: n + 1]
+def fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One hash of two, element by element: a bijection in either while the other stays."""
     with np.errstate(over="ignore"):
-        grown = []
-        for step in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
-            x = np.full(n + 1, step)
-            x[0] = 1
-            grown.append(np.multiply.accumulate(x))
-    if n <= 1 << 22:
-        _powers[:] = grown
-    return grown[0], grown[1]
+        z = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + (y ^ (y >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return z ^ (z >> np.uint64(30))
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a big-endian number; beyond the end, zeros."""
+    x = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    for span in (1, 2, 4):
+        x = (x[: len(x) - span] << np.uint64(8 * span)) | x[span:]
+    return x[: len(data)]
 
 
 def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]."""
-    up, down = _power_tables(len(data))
+    """A 64-bit hash of each data[start:end]. Slices of up to eight bytes differ if their bytes do."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lanes = eights(data)
+    sizes = ends - starts
+
+    def lane(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes, or fewer where fewer are left."""
+        return lanes[at] >> (np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64)))
+
+    out = np.zeros(len(starts), np.uint64)
+    some = np.flatnonzero(sizes > 0)
+    out[some] = lane(starts[some], sizes[some])
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * up[: len(data)], out=total[1:])
-        return splitmix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * ODD)
+        out = splitmix(out + sizes.astype(np.uint64) * ODD)
+    live = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    done = 8
+    while len(live):
+        out[live] = fold(out[live], lane(starts[live] + done, sizes[live] - done))
+        done += 8
+        live = live[sizes[live] > done]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def hash_grams(codes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n codes, for the len(codes) - n + 1 places where one starts."""
+    """A hash of each run of n codes, for the len(codes) - n + 1 places where one starts: of runs of 2, 4, 8 and so on,
+    the last two of which overlap."""
     m = len(codes) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
+    span, x = 1, codes
+    while span * 2 <= n:
+        x = fold(x[: len(x) - span], x[span:])
+        span *= 2
+    if span < n:
+        x = fold(x[:m], x[n - span : n - span + m])
     with np.errstate(over="ignore"):
-        x = codes[:m].copy()
-        for j in range(1, n):
-            x = x * BASE + codes[j : j + m]
         return splitmix(x + np.uint64(n) * ODD)
 
 
+def byte_grams(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n bytes, for the len(data) - n + 1 places where one starts."""
+    m = len(data) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    lanes = eights(data)
+    if n < 8:
+        return splitmix(lanes[:m] >> np.uint64(8 * (8 - n)))
+    x = lanes[:m]
+    for at in [*range(8, n - 7, 8), *([n - 8] if n % 8 else [])]:
+        x = fold(x, lanes[at : at + m])
+    return splitmix(x)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """min(x[i:i + width]) for each i where it fits."""
     n = len(x)
@@ -159,8 +197,12 @@ def own_id(id_column: str, text_column: str):
 
 def hash_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each codes[start:end], like hash_slices() but over 64-bit codes."""
-    up, down = _power_tables(len(codes))
+    sizes = ends - starts
     with np.errstate(over="ignore"):
-        total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=total[1:])
-        return splitmix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * ODD)
+        out = splitmix(sizes.astype(np.uint64) * ODD)
+    live, done = np.flatnonzero(sizes > 0), 0
+    while len(live):
+        out[live] = fold(out[live], codes[starts[live] + done])
+        done += 1
+        live = live[sizes[live] > done]
+    return out

@@ -148,22 +148,14 @@ def join_words(data, starts, ends, rows, keep) -> tuple[np.ndarray, np.ndarray]:
     return out, total[np.searchsorted(index, rows)]
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, key, spans of the windows that an earlier document has too; docs: doc_id (not null), key, text."""
-    gram = min(gram, window)
-    symbols = fragments.Symbols("words", window, gram)
-    runs = F.expr(f"flatten(transform(filter(sequence(0, size(best) - 1), j -> best[j] < least(doc_id, {fragments.LAST}L)), j -> array(j, j + 1)))")
-    return fragments.repeated(docs, symbols, True, _kernel(window, shard_bytes), "mz long, print long, best array<long>", runs)
-
-
-def _finish(window: int, keep_breaks: bool, with_text: bool):
+def _finish(symbols: fragments.Symbols, hot, keep_breaks: bool, with_text: bool):
     """With keep_breaks the text keeps its white space: a removed word goes with the break after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
             data, offsets = common.texts(batch.column("text"))
-            starts, ends, rows = common.words(data, offsets)
-            gone = fragments.covered(batch, rows, window)
+            starts, ends, rows = cut = common.words(data, offsets)
+            gone = fragments.covered(batch, symbols, data, cut, hot.value)
             if keep_breaks:
                 step = np.zeros(len(data) + 1, np.int64)
                 row_ends = offsets[1:][np.searchsorted(rows, np.arange(len(starts)), "right") - 1]
@@ -186,18 +178,20 @@ def _finish(window: int, keep_breaks: bool, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, id_column: str = "doc_id", text_column: str = "text", keep_breaks: bool = False, others: list[str] | None = None, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, id_column: str = "doc_id", text_column: str = "text", keep_breaks: bool = False, others: list[str] | None = None, with_text: bool = True, hot: int = 64, bound: int = 1 << 20) -> DataFrame:
     """Removes each word that a window covers which an earlier document has too.
 
     Gives id_column, the columns in `others`, n_words, n_removed, kept_sha256 and, with_text, kept_text,
-    a row for each row of docs. Windows are judged on the input. gram: words in a minimizer.
+    a row for each row of docs. Windows are judged on the input. gram: words in a minimizer; hot and bound: see Symbols.
     """
     others = others or []
     own = docs.select(common.own_id(id_column, text_column).alias("doc_id"), F.hash(id_column, text_column).alias("key"), F.struct(F.col(id_column).alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others, 1))).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    found = repeated_spans(own.select("doc_id", "text", "key"), window, gram)
-    rows = own.join(found, ["doc_id", "key"], "left").select("row", "text", F.coalesce("spans", F.array().cast("array<struct<pos:int,runs:array<int>>>")).alias("spans"))
+    symbols = fragments.Symbols("words", window, min(gram, window), True, hot, bound)
+    runs = F.expr(f"flatten(transform(filter(sequence(0, size(best) - 1), j -> best[j] < least(doc_id, {fragments.LAST}L)), j -> array(j, j + 1)))")
+    spans, warm = fragments.repeated(own.select("doc_id", "text", "key"), symbols, _kernel(window, SHARD_BYTES), "mz long, print long, best array<long>", runs)
+    rows = fragments.marked(own, spans)
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())))])
-    out = rows.mapInArrow(_finish(window, keep_breaks, with_text), schema)
+    out = rows.mapInArrow(_finish(symbols, docs.sparkSession.sparkContext.broadcast(warm), keep_breaks, with_text), schema)
     return out.select(F.col("row.c0").alias(id_column), *(F.col(f"row.c{i}").alias(c) for i, c in enumerate(others, 1)), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
 
 

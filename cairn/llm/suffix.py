@@ -29,15 +29,6 @@ from cairn.llm import common, fragments
 SHARD_BYTES = 1 << 20
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as a big-endian number; beyond the end, zeros."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    out = np.zeros(len(data), np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | padded[j : j + len(data)]
-    return out
-
-
 def refine(data: np.ndarray, depth: int) -> np.ndarray:
     """Ranks of the suffixes by their first `depth` (8 or more) bytes: equal ranks mean equal bytes, if all of them lie in data.
 
@@ -46,7 +37,7 @@ def refine(data: np.ndarray, depth: int) -> np.ndarray:
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    eights = _eights(data)
+    eights = common.eights(data)
     order = np.argsort(eights, kind="stable")
     rank = np.empty(n, np.int64)
     keys = eights[order]
@@ -112,7 +103,7 @@ def refine_all(data: np.ndarray) -> np.ndarray:
 
 
 def _compare(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, depth: int) -> np.ndarray:
-    """-1, 0 or 1 for depth bytes of a from each at_a against b from at_b. a and b are _eights() of the texts."""
+    """-1, 0 or 1 for depth bytes of a from each at_a against b from at_b. a and b are common.eights() of the texts."""
     out = np.zeros(len(at_a), np.int8)
     live = np.arange(len(at_a))
     for k in range(0, depth, 8):
@@ -172,7 +163,7 @@ def repeated_windows(parts: list[bytes], counts: list[int], window: int, shard_b
     for i, x in enumerate(shards):
         for j in range(i + 1, len(shards)):
             y = shards[j]
-            hit = merge_search(x.one, _eights(x.data), y.one, _eights(y.data), window)
+            hit = merge_search(x.one, common.eights(x.data), y.one, common.eights(y.data), window)
             mine = np.flatnonzero(hit >= 0)
             total[j][mine] += x.times[hit[mine]]
             total[i][hit[mine]] += y.times[mine]
@@ -204,11 +195,11 @@ def _kernel(window: int, shard_bytes: int):
     return run
 
 
-def _finish(window: int, with_text: bool):
+def _finish(symbols: fragments.Symbols, hot, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "text"):
             data, offsets = common.texts(batch.column("text"))
-            gone = fragments.covered(batch, offsets, window)
+            gone = fragments.covered(batch, symbols, data, symbols.cut(data, offsets), hot.value)
             stay = ~gone
             whole = data[stay].tobytes()
             at = np.concatenate(([0], np.cumsum(stay)))[offsets].tolist()
@@ -227,17 +218,17 @@ def _finish(window: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, gram: int = 24, id_column: str = "doc_id", text_column: str = "text", others: list[str] | None = None, with_text: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 200, gram: int = 24, id_column: str = "doc_id", text_column: str = "text", others: list[str] | None = None, with_text: bool = True, shard_bytes: int = SHARD_BYTES, hot: int = 64, bound: int = 1 << 20) -> DataFrame:
     """Removes each byte that a string of `window` bytes covers which starts anywhere else too.
 
     Gives id_column, the columns in `others`, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256 and, with_text, kept (bytes), a row for each row of docs. window: 16 or more.
+    kept_sha256 and, with_text, kept (bytes), a row for each row of docs. window: 16 or more; hot and bound: see Symbols.
     """
     others = others or []
     own = docs.select(common.own_id(id_column, text_column).alias("doc_id"), F.hash(id_column, text_column).alias("key"), F.struct(F.col(id_column).alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others, 1))).alias("row"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    symbols = fragments.Symbols("bytes", window, min(gram, window))
-    spans = fragments.repeated(own.select("doc_id", "text", "key"), symbols, False, _kernel(window, shard_bytes), "mz long, print long, runs array<int>", F.col("runs"))
-    rows = own.join(spans, ["doc_id", "key"], "left").select("row", "text", F.coalesce("spans", F.array().cast("array<struct<pos:int,runs:array<int>>>")).alias("spans"))
+    symbols = fragments.Symbols("bytes", window, min(gram, window), False, hot, bound)
+    spans, warm = fragments.repeated(own.select("doc_id", "text", "key"), symbols, _kernel(window, shard_bytes), "mz long, print long, runs array<int>", F.col("runs"))
+    rows = fragments.marked(own, spans)
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType())))])
-    out = rows.mapInArrow(_finish(window, with_text), schema)
+    out = rows.mapInArrow(_finish(symbols, docs.sparkSession.sparkContext.broadcast(warm), with_text), schema)
     return out.select(F.col("row.c0").alias(id_column), *(F.col(f"row.c{i}").alias(c) for i, c in enumerate(others, 1)), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []))

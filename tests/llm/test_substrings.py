@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from cairn.llm import fragments, substring, suffix
+from cairn.llm import common, fragments, substring, suffix
 from tests.llm import fixture
 
 
@@ -46,19 +46,48 @@ def brute_bytes(rows, window):
 def test_words_against_brute_force(spark):
     docs = fixture.with_null_id(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for window, gram in ((13, 5), (4, 2)):
-        got = substring.remove_repeats(docs, window, gram, with_text=False).collect()
+    for window, gram, hot, bound in ((13, 5, 64, 1 << 20), (4, 2, 64, 1 << 20), (13, 5, 2, 1 << 20), (4, 2, 3, 50), (13, 5, 2, 0)):
+        got = substring.remove_repeats(docs, window, gram, with_text=False, hot=hot, bound=bound).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(rows, window)
 
 
 def test_bytes_against_brute_force(spark):
     docs = fixture.with_null_id(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for window, shard in ((200, 1 << 20), (60, 300)):  # small shards merge by binary search
-        got = suffix.remove_repeats(docs, window, 16, with_text=False, shard_bytes=shard).collect()
+    for window, shard, hot in ((200, 1 << 20, 64), (60, 300, 64), (60, 300, 2), (203, 1 << 20, 3)):  # small shards merge by binary search
+        got = suffix.remove_repeats(docs, window, 16, with_text=False, shard_bytes=shard, hot=hot).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows, window)
 
 
+def thue_morse(n=1024):
+    """Two texts of which every polynomial hash modulo 2**64 makes one."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_hashes_part_what_polynomials_do_not():
+    for n in (8, 9, 64, 500, 512, 1024, 4096):
+        data = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+        starts, ends = np.array([0, n]), np.array([n, 2 * n])
+        codes = common.hash_slices(data, np.arange(2 * n), np.arange(2 * n) + 1)
+        for h in (common.hash_slices(data, starts, ends), common.hash_runs(codes, starts, ends), common.hash_grams(codes, n)[[0, n]], common.byte_grams(data, n)[[0, n]]):
+            assert h[0] != h[1]
+    same = np.frombuffer(b"one two one twofold", np.uint8)
+    h = common.hash_slices(same, np.array([0, 8, 4, 12, 12]), np.array([3, 11, 7, 15, 19]))
+    assert h[0] == h[1] and h[2] == h[3] and len({*h.tolist()}) == 3
+
+
+def test_long_words_are_told_apart(spark):
+    a, b = thue_morse()
+    rows = [(1, " ".join(["w"] * 12 + [a])), (2, " ".join(["w"] * 12 + [b])), (3, f"{a} {b} " + "x" * 100_000), (4, "y" * 2_000_000 + " " + "z z " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring.remove_repeats(docs, with_text=False).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(rows, 13)
+    for window in (200, 1024):
+        got = suffix.remove_repeats(docs.where("doc_id < 4"), window, with_text=False).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows[:3], window)
+
+
 def test_empty_tables(spark):
     assert substring.remove_repeats(fixture.empty(spark)).count() == 0
     assert suffix.remove_repeats(fixture.empty(spark)).count() == 0
