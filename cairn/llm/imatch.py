@@ -10,10 +10,13 @@ alike two documents are.
 The lexicon holds at most (mean number of distinct terms) / min_share rows, whatever the corpus; it
 is broadcast if its counted rows are under BROADCAST_ROWS, and else joined by a shuffle.
 
+The order of documents is found on slim rows alone, dealt by ranges; texts and fingerprints then move
+to their neighbours by a hash of the document, so no range of ids makes a large task.
+
 Defined cases: a null text is empty; a document without terms in the lexicon has a fingerprint of
 blanks; null ids come after all others; rows that repeat an id are documents of their own, in the
-order of their texts; the document after the last is the first, which may be the same; an empty
-table gives an empty result; other columns are ignored.
+order of their texts (of the first TIE characters, then of a hash); the document after the last is
+the first, which may be the same; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ from cairn.llm import common
 LEVELS, PER_LEVEL = (16, 128, 1024), 16
 BLANK = "------"
 BROADCAST_ROWS = 1_000_000
-#: Ids that one bucket of the order spans.
-BUCKET = 4096
-LAST = 9223372036854775807
+#: Characters by which texts with one id are ordered.
+TIE = 64
+#: What names a document: whether its id is null, the id, a hash of the text.
+KEY = ("nul", "id", "h")
 
 
 def terms(text: Column) -> Column:
@@ -66,19 +70,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(some == 0, F.lit(1.0)).otherwise(same / some)
 
 
-def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """doc_id, text, bucket, rn, next, ends: each document with the text of the one after it by ascending id.
-
-    Ids are dealt by ranges of `bucket` of them; only each range's first id and text look across. ends: it is a range's last.
-    """
+def _neighbours(own: DataFrame) -> DataFrame:
+    """KEY, copies, prev (KEY and n): of each distinct document, how often it is there and which one comes before it; before
+    the first comes the last. Only the ends of ranges look across; there are as many as shuffle partitions."""
+    spark = own.sparkSession
+    order = ("nul", "id", "tie", "h")
+    slim = own.select(*KEY, F.length("text").alias("n"), F.substring("text", 1, TIE).alias("tie")).groupBy(*order, "n").agg(F.count("*").alias("copies"))
+    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slim = common.written(slim.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    at = lambda c="": F.struct(*(F.col(f"{c}{k}").alias(k) for k in (*KEY, "n")))
+    ends = slim.groupBy("range").agg(F.max(F.struct(*order, "n")).alias("last"))
+    ends = ends.select("range", F.coalesce(F.lag("last").over(Window.orderBy("range")), F.max("last").over(Window.partitionBy())).alias("last")).select("range", at("last.").alias("around"))
+    inside = Window.partitionBy("range").orderBy(*order)
+    ranked = slim.withColumn("prev", F.lag(at()).over(inside)).join(F.broadcast(ends), "range")  # a row for each range
+    found = common.written(ranked.select(*KEY, "copies", F.coalesce("prev", "around").alias("prev")))
+    common.drop(slim)
+    return found
+
+
+def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", half: bool = False) -> DataFrame:
+    """KEY, copy, copies, doc_id, text, prev, next: each document with the text of the one after it by ascending id; with half,
+    as much of that text's beginning as half of its own length, rounded down. A copy that isn't its last is followed by the same."""
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    own = own.withColumn("bucket", F.floor(F.coalesce("doc_id", F.lit(LAST)) / bucket).cast("long"))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    heads = own.groupBy("bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)), "text"))["text"].alias("head"))
-    follow = own.groupBy("bucket").agg(F.lit(1).alias("one")).select("bucket", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy())).alias("after"))
-    heads = follow.join(heads.withColumnRenamed("bucket", "after"), "after").select("bucket", "head")
-    ranked = own.withColumns({"rn": F.row_number().over(order), "next": F.lead("text").over(order), "ends": F.lead(F.lit(1)).over(order).isNull()})
-    return ranked.join(heads, "bucket").select("doc_id", "text", "bucket", "rn", "ends", F.when(F.col("ends"), F.col("head")).otherwise(F.col("next")).alias("next"))
+    own = own.select(F.col("doc_id").isNull().alias("nul"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), "text")
+    rows = own.join(_neighbours(own), list(KEY)).withColumn("copy", F.row_number().over(Window.partitionBy(*KEY).orderBy("copies")))
+    begins = lambda n: F.expr(f"substring(text, 1, cast({n} div 2 as int))") if half else F.col("text")
+    after = rows.where("copy = 1").select(*(F.col(f"prev.{k}").alias(k) for k in KEY), begins("prev.n").alias("after"))
+    got = rows.join(after, list(KEY))
+    return got.select(*KEY, "copy", "copies", F.when(~F.col("nul"), F.col("id")).alias("doc_id"), "text", "prev", F.when(F.col("copy") < F.col("copies"), begins("length(text)")).otherwise(F.col("after")).alias("next"))
 
 
 def fingerprints(docs: DataFrame, lexicon_: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -99,21 +118,21 @@ def edited_report(docs: DataFrame, min_share: float = 0.001, max_share: float =
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: each document against the
     text whose last half is the next document's beginning, and against that document."""
     band = common.written(lexicon(docs, min_share, max_share, seed))
-    rows = with_next(docs)
+    rows = with_next(docs, half=True)
     n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next, 1, cast(floor(length(text) / 2) as int))"))
-    rows = rows.select("bucket", "rn", "doc_id", "text", "next", "ends", edited.alias("edited"), n.alias("n_chars"))
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))"), F.col("next"))
+    each = [*KEY, "copy", "copies", "doc_id", "prev"]
+    rows = rows.select(*each, "text", edited.alias("edited"), n.alias("n_chars"))
     of = lambda column, side: F.transform(terms(F.col(column)), lambda w: F.struct(F.lit(side).alias("side"), w.alias("term"), F.lit(None).cast("string").alias("note")))
     mark = F.array(F.struct(F.lit(0).alias("side"), F.lit("").alias("term"), F.concat_ws(":", F.col("n_chars").cast("string"), F.sha2(F.col("edited"), 256)).alias("note")))
-    every = F.concat(mark, of("text", 1), of("edited", 2), F.when(F.col("ends"), of("next", 3)).otherwise(F.array().cast("array<struct<side:int,term:string,note:string>>")))
-    exploded = rows.select("bucket", "rn", "doc_id", F.explode(every).alias("x")).select("bucket", "rn", "doc_id", "x.side", "x.term", "x.note")
-    codes = [F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("code")))).alias(f"c{s}") for s in (1, 2, 3)]
-    got = _grouped(exploded, band).groupBy("bucket", "rn", "doc_id").agg(F.max("note").alias("note"), *codes)
-    got = got.select("bucket", "rn", "doc_id", "note", *(subsets(F.col(f"c{s}")).alias(f"f{s}") for s in (1, 2)), F.when(F.size("c3") >= 0, subsets(F.col("c3"))).alias("f3"))
-    order = Window.partitionBy("bucket").orderBy("rn")
-    after = F.coalesce(F.lead("f1").over(order), F.col("f3"))
+    exploded = rows.select(*each, F.explode(F.concat(mark, of("text", 1), of("edited", 2))).alias("x")).select(*each, "x.side", "x.term", "x.note")
+    codes = [F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("code")))).alias(f"c{s}") for s in (1, 2)]
+    got = _grouped(exploded, band).groupBy(*KEY, "copy").agg(F.max("note").alias("note"), *(F.first(c).alias(c) for c in ("copies", "doc_id", "prev")), *codes)
+    got = common.written(got.select(*KEY, "copy", "copies", "doc_id", "prev", "note", *(subsets(F.col(f"c{s}")).alias(f"f{s}") for s in (1, 2))))
+    after = got.where("copy = 1").select(*(F.col(f"prev.{k}").alias(k) for k in KEY), F.col("f1").alias("next"))
+    after = got.join(after, list(KEY)).withColumn("after", F.when(F.col("copy") < F.col("copies"), F.col("f1")).otherwise(F.col("next")))
     note = F.split("note", ":")
-    return got.withColumn("after", after).select("doc_id", note[0].cast("long").alias("n_chars"), note[1].alias("edited_sha256"), F.concat_ws(":", "f1").alias("fingerprint"), F.concat_ws(":", "f2").alias("edited_fingerprint"), likeness(F.col("f1"), F.col("f2")).alias("near_edited"), likeness(F.col("f1"), F.col("after")).alias("near_next"))
+    return after.select("doc_id", note[0].cast("long").alias("n_chars"), note[1].alias("edited_sha256"), F.concat_ws(":", "f1").alias("fingerprint"), F.concat_ws(":", "f2").alias("edited_fingerprint"), likeness(F.col("f1"), F.col("f2")).alias("near_edited"), likeness(F.col("f1"), F.col("after")).alias("near_next"))
 
 
 ORACLE = """

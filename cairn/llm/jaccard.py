@@ -142,7 +142,10 @@ def links(sets: list[np.ndarray], num: int, den: int, width: int = 1 << 16, cell
         for d in np.unique(often[(often > 1) & (often <= FEW)]).tolist():
             rows = own[(often == d)[gram]].reshape(-1, d)  # the sets of each such gram, ascending
             x, y = np.triu_indices(d, 1)
-            np.add.at(flat, (rows[:, x] * m + rows[:, y]).reshape(-1), 1)
+            some = max(1, cells // len(x))  # so many grams at a time
+            for k in range(0, len(rows), some):
+                part = rows[k : k + some]
+                np.add.at(flat, (part[:, x] * m + part[:, y]).reshape(-1), 1)
         many = np.flatnonzero(often > FEW)
         step = max(64, cells // m)
         for k in range(0, len(many), step):

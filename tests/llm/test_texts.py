@@ -80,6 +80,22 @@ def test_jaccard_components(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in brute_components(rows, 4, 85)}
 
 
+def test_jaccard_on_long_words(spark):
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = ("".join(x[i] for i in bits) for x in ("ab", "ba"))  # equal under any polynomial hash modulo 2**64
+    rows = [(1, a), (2, b), (3, f"{a} {b} c d"), (4, f"{b} {a} c d"), (5, a.upper()), (6, "x" * 100_000), (7, "x" * 100_000)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 4, 85)
+
+
+def test_overlaps_of_a_block_in_small_fragments():
+    rnd = np.random.default_rng(8)
+    sets = [np.unique(rnd.integers(0, 300, int(rnd.integers(1, 200)))) for _ in range(60)] + [np.arange(250)] * 3
+    want = {(i, j) for i in range(63) for j in range(i + 1, 63) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))}
+    for width, cells in ((1 << 16, 1 << 21), (7, 64), (100, 1 << 21)):
+        assert set(jaccard.links(sets, 60, 100, width, cells)) == want
+
+
 def test_linked_sets_share_a_signature():
     rnd = np.random.default_rng(5)
     for size in [*range(6, 40), 200, 700]:
@@ -117,6 +133,12 @@ def test_imatch_order_crosses_ranges(spark):
     docs = spark.createDataFrame([(i * 3000, f"text {i}") for i in range(9)], "doc_id long, text string")
     got = {r.doc_id: r.next for r in imatch.with_next(docs).collect()}
     assert got == {i * 3000: f"text {(i + 1) % 9}" for i in range(9)}
+    # Ids far apart, null ids, and copies: each but a document's last copy is followed by the same.
+    rows = [(7919 * i * i * (-1) ** i, f"t{i}") for i in range(200)] + [(None, f"n{i}") for i in range(40)] + [(0, "t0")] * 3
+    got = imatch.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    want = Counter((*order[i], order[(i + 1) % len(order)][1]) for i in range(len(order)))
+    assert Counter((r.doc_id, r.text, r.next) for r in got) == want
 
 
 def test_quality_on_held_out_rows(spark, sf_dir):
