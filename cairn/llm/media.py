@@ -1,7 +1,9 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area-resized by integral images, NPY tiles, difference hashes.
 
 Defined cases: null media gives null columns; bytes that aren't a supported image give a null
-array and the reason in `problem`; an empty table gives an empty result; other columns are ignored.
+array and the reason in `problem`; a null text is empty; rows that repeat an id are images of their
+own; a text of any length is one image, as tall as it needs; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -197,7 +199,7 @@ def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def read_back(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """id_column, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (difference hash and
-    the SHA-256 of a 16 x 16 NPY tile), all from the stored bytes."""
+    the SHA-256 of the tile), tile (16 x 16, as NPY), all from the stored bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches, "media"):
@@ -206,11 +208,11 @@ def read_back(stored: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 pixels = decode(media)
                 payload = pixels.tobytes()
                 small = npy(np.rint(area_resize(pixels, 16, 16)).astype(np.uint8))
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(pixels)}:{hashlib.sha256(small).hexdigest()}"))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(pixels)}:{hashlib.sha256(small).hexdigest()}", small))
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["id", "n_bytes", *names])
 
     kind = stored.schema[id_column].dataType.simpleString()
-    out = stored.select(F.col(id_column).alias("id"), "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = stored.select(F.col(id_column).alias("id"), "n_bytes", "media").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
     return out.withColumnRenamed("id", id_column)

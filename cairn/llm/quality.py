@@ -1,15 +1,17 @@
 """Positive-unlabelled quality classifier: a linear model under the non-negative unbiased risk.
 
-Trusted positives are learn rows that the labels call good; the unlabelled set is web text without
-regard to its labels. With class prior p the risk is p R+(f) + max(0, Ru-(f) - p R+-(f)), under the
-logistic loss. The prior is the share of good rows among the labelled learn rows. Both sets are
-bounded samples, the rows of least hash: `sample` rows of each at most. The features are shares of
-pairs of byte classes, of the words' shapes and of repeated words, all over the whole text.
+Trusted positives are learn rows that the labels call good; the unlabelled set is all learn rows
+without regard to their labels. With class prior p the risk is p R+(f) + max(0, Ru-(f) - p R+-(f)),
+under the squared loss (1 - y f)^2 / 4. The prior is the share of good rows among the labelled learn
+rows. Under this loss the risk of a linear f depends on the first and second moments of both sets
+alone, so it is minimised over all their rows: one pass sums the moments, row by row of the matrix,
+and the driver gets N_FEATURES + 1 rows whatever the corpus. The features are shares of pairs of byte
+classes, of the words' shapes and of repeated words, all over the whole text.
 
 Defined cases: a null or empty text has zero features and a score from the intercept; labels that
-are null don't count; an id with several labels is good if most are; without any good learn row, or
-without text, every score is the prior; an empty table gives an empty result; other columns are
-ignored.
+are null don't count; an id with several labels is good if half of them or more are; rows that repeat
+an id all count; without any good learn row, or without text, every score is the prior; an empty
+table gives an empty result; a text of any length is one row of features; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,6 @@ from pyspark.sql import functions as F
 
 from cairn.llm import common
 
-#: Rows that each of the two training sets has at most.
-SAMPLE = 4000
-
-
 def _byte_classes() -> np.ndarray:
     """24 classes: letters by case, digits, breaks, each common mark, control characters, bytes of longer characters."""
     out = np.zeros(256, np.int64)
@@ -40,6 +38,8 @@ def _byte_classes() -> np.ndarray:
 
 CLASSES, WIDTH = _byte_classes(), 24
 N_FEATURES = WIDTH * WIDTH + 6
+#: What is added to the second moments, as a share of each feature's variance.
+RIDGE = 0.1
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -75,35 +75,61 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def moments(x: np.ndarray) -> np.ndarray:
+    """The sums of products of the columns of (1, x): [0, 0] is the number of rows."""
+    x = np.concatenate((np.ones((len(x), 1), np.float32), x.astype(np.float32)), 1)
+    return (x.T @ x).astype(np.float64)
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's moments of all its rows (u) and of the good ones among them (p), a row for each row of the matrix."""
+    u, p = (np.zeros((N_FEATURES + 1, N_FEATURES + 1)) for _ in range(2))
     for batch in common.pieces(batches, "text"):
         x = features(*common.texts(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("side"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["side", "x"])
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Weights, intercept, means and scales: Adam on the non-negative risk; where its inner part is negative, that part is ascended."""
-    both = np.concatenate((positive, unlabelled)).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 0.01
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    w, b = np.zeros(both.shape[1]), float(np.log(prior / (1 - prior)))
-    m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for step in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
-        loss = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up, uu = sigmoid(zp) / len(p), sigmoid(zu) / len(u)
-        inner = np.append(uu @ u - prior * (up @ p), uu.sum() - prior * up.sum())
-        if loss >= 0:
-            good = -prior * (1 / len(p) - up)
-            grad = inner + np.append(good @ p, good.sum())
-        else:
-            grad = -inner
-        grad[:-1] += decay * w
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, b, mean, scale
+        good = np.asarray(batch.column("good"))
+        u += moments(x)
+        if good.any():
+            p += moments(x[good])
+    if u[0, 0]:
+        rows = lambda m: pa.array([m[i, i:].tobytes() for i in range(len(m))], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(u), dtype=np.int32)), rows(u), rows(p)], ["i", "u", "p"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = lambda c: np.sum([np.frombuffer(x) for x in table.column(c).to_pylist()], 0).tobytes()
+    return pa.table({"i": table.column("i").slice(0, 1), "u": pa.array([total("u")], pa.binary()), "p": pa.array([total("p")], pa.binary())})
+
+
+def risk(w: np.ndarray, u: np.ndarray, p: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of f(x) = w . (1, x): prior R+(f), Ru-(f) - prior R+-(f), and the gradients of both. u and p: mean moments."""
+    square = lambda m, sign: (1 + 2 * sign * m[0] @ w + w @ m @ w) / 4  # noqa: E731  the mean of (1 + sign f)^2 / 4
+    slope = lambda m, sign: (sign * m[0] + m @ w) / 2
+    return prior * square(p, -1), square(u, 1) - prior * square(p, 1), prior * slope(p, -1), slope(u, 1) - prior * slope(p, 1)
+
+
+def fit(u: np.ndarray, p: np.ndarray, prior: float, ridge: float = RIDGE) -> np.ndarray:
+    """Weights, the intercept first, that minimise the non-negative risk. u and p: moments, as sums.
+
+    Where the second part is not negative at the least sum of both, that is the minimum. Else the minimum lies where the
+    second part is 0, and is the least of R+ plus a share of that part; the share is found by bisection. The ridge, as a
+    share of each feature's variance, grows with the number of features to a row.
+    """
+    ridge += len(u) / u[0, 0]
+    u, p = u / u[0, 0], p / p[0, 0]
+    spread = ridge * (np.maximum(np.diag(u) - u[0] ** 2, 0) + 1e-6)
+    spread[0] = 0
+
+    def least(share: float) -> np.ndarray:
+        both = (1 - share) * prior * p + share * u
+        return np.linalg.solve(both + np.diag(spread + 1e-9), prior * p[0] - share * (u[0] - prior * p[0]))
+
+    low, high = 0.0, 1.0
+    if risk(least(1.0), u, p, prior)[1] >= 0:
+        return least(1.0)
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if risk(least(middle), u, p, prior)[1] >= 0 else (low, middle)
+    return least(low)
 
 
 def held_out(id_column: Column) -> Column:
@@ -111,29 +137,24 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text"):
-    """The model for score(): what fit() gives, and the prior. Held-out rows are in neither set, nor in the prior."""
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"):
+    """The model for score(): weights, and the prior. Held-out rows are in neither set, nor in the prior; all others are in."""
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_column).alias("id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).alias("good")).where(~held_out(F.col("id")))
     n, n_good = good.agg(F.count("*"), F.coalesce(F.count_if("good"), F.lit(0))).first()
     prior = min(0.98, max(0.02, n_good / n)) if n else 0.5
     own = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id")))
-    order = F.xxhash64("id", F.lit("sample"))
-    ids = own.select("id").distinct()
-    trusted = ids.join(good.where("good").select("id"), "id").orderBy(order).limit(sample).select("id", F.lit(1).alias("side"))
-    web = ids.orderBy(order).limit(sample).select("id", F.lit(0).alias("side"))
-    chosen = trusted.unionByName(web).hint("broadcast")  # 2 * sample ids at most
-    rows = own.join(chosen, "id").select("side", "text").mapInArrow(_measure, "side int, x binary").toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, N_FEATURES).astype(np.float32)
-    side = np.asarray(rows.column("side"))
-    order = np.lexsort((*x.T[:4], side))  # executors return rows in any order
-    x, side = x[order], side[order]
-    if not (side == 1).any() or not (side == 0).any():
-        return None, prior
-    return fit(x[side == 1], x[side == 0], prior), prior
+    marked = own.join(good.where("good"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    found = marked.mapInArrow(_measure, "i int, u binary, p binary").groupBy("i").applyInArrow(_summed, "i int, u binary, p binary").toArrow().to_pylist()
+    u, p = (np.zeros((N_FEATURES + 1, N_FEATURES + 1)) for _ in range(2))
+    for row in found:
+        for matrix, name in ((u, "u"), (p, "p")):
+            matrix[row["i"], row["i"] :] = matrix[row["i"] :, row["i"]] = np.frombuffer(row[name])
+    return (fit(u, p, prior) if p[0, 0] else None), prior
 
 
 def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str = "text", others: list[str] | None = None) -> DataFrame:
-    """id_column, the columns in `others`, score: the chance that a text is good, a row for each row of docs."""
+    """id_column, the columns in `others`, score: (1 + f) / 2 between 0 and 1, which estimates the chance that a text is good; a
+    row for each row of docs."""
     others = others or []
     found, prior = model
     sent = docs.sparkSession.sparkContext.broadcast(found)
@@ -144,8 +165,7 @@ def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str =
             if sent.value is None:
                 out = np.full(len(x), prior)
             else:
-                w, b, mean, scale = sent.value
-                out = 1 / (1 + np.exp(-np.clip((x - mean) / scale @ w + b, -40, 40)))
+                out = np.clip((1 + sent.value[0] + x.astype(np.float64) @ sent.value[1:]) / 2, 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], ["row", "score"])
 
     rows = docs.select(F.struct(F.col(id_column).alias("c0"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(others, 1))).alias("row"), F.col(text_column).alias("text"))
@@ -153,7 +173,7 @@ def score(docs: DataFrame, model, id_column: str = "doc_id", text_column: str =
     return out.select(F.col("row.c0").alias(id_column), *(F.col(f"row.c{i}").alias(c) for i, c in enumerate(others, 1)), "score")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", others: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", others: list[str] | None = None) -> DataFrame:
     """id_column, the columns in `others`, held_out, score, predicted (1 if score >= 0.5)."""
-    out = score(docs, train(docs, labels, sample, id_column), id_column, others=others)
+    out = score(docs, train(docs, labels, id_column), id_column, others=others)
     return out.select(id_column, *(others or []), held_out(F.col(id_column)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -150,6 +150,59 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert ((held.score >= 0.5).astype(int) == held.predicted).all()
 
 
+def moments_of(rng, n, d, shift):
+    x = np.concatenate((np.ones((n, 1)), rng.normal(shift, 1, (n, d))), 1)
+    return x, x.T @ x
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(9)
+    (xp, p), (xu, u), prior = moments_of(rng, 40, 5, 0.7), moments_of(rng, 300, 5, 0.0), 0.4
+    p, u, w = p / 40, u / 300, rng.normal(0, 1, 6)
+
+    def plain(w):  # the risk by its definition, row by row
+        loss = lambda x, y: np.mean((1 - y * (x @ w)) ** 2 / 4)
+        return prior * loss(xp, 1), loss(xu, -1) - prior * loss(xp, -1)
+
+    first, inner, up, down = quality.risk(w, u, p, prior)
+    assert np.allclose((first, inner), plain(w))
+    for k in range(6):
+        e = np.eye(6)[k] * 1e-6
+        assert np.allclose([(a - b) / 2e-6 for a, b in zip(plain(w + e), plain(w - e))], [up[k], down[k]], atol=1e-6)
+
+
+def test_fit_finds_the_least_non_negative_risk():
+    rng = np.random.default_rng(10)
+    for n, d, shift in ((400, 3, 0.5), (30, 12, 1.5), (25, 20, 0.2)):
+        (_, p), (_, u) = moments_of(rng, n // 2, d, shift), moments_of(rng, n, d, 0.0)
+        w = quality.fit(u, p, 0.5, 0.0)
+        mean_u, mean_p = u / n, p / (n // 2)
+        spread = (d + 1) / n * (np.diag(mean_u) - mean_u[0] ** 2)  # the ridge that fit() adds
+        spread[0] = 0
+
+        def total(v):
+            first, inner, _, _ = quality.risk(v, mean_u, mean_p, 0.5)
+            return first + max(0.0, inner) + (v * spread) @ v / 4
+
+        assert quality.risk(w, mean_u, mean_p, 0.5)[1] >= -1e-9
+        assert all(total(w) <= total(w + rng.normal(0, 10.0 ** -k, d + 1)) + 1e-6 for k in (0, 1, 2, 3) for _ in range(50))
+
+
+def test_moments_are_of_all_rows(spark):
+    docs = fixture.documents(spark)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60, 3)], "doc_id long, quality int")
+    model, prior = quality.train(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    learn = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    good = {r.doc_id for r in learn if r.quality}
+    raw = [t.encode() for _, t in rows]
+    x = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    x = np.concatenate((np.ones((len(x), 1)), x), 1)
+    mine = x[[d in good for d, _ in rows]]
+    assert prior == len(good) / len(learn)
+    assert np.allclose(model, quality.fit(x.T @ x, mine.T @ mine, prior), atol=2e-3)
+
+
 def test_quality_without_labels_or_text(spark):
     docs, none = fixture.with_null_id(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, none).collect()
@@ -171,6 +224,53 @@ def test_media_round_trip(spark):
     assert media.read_back(media.store(fixture.empty(spark))).count() == 0
 
 
+def plain_means(pixels, height, width):
+    """Area means of each target pixel, by the share of each source pixel that it covers."""
+    out = np.zeros((height, width))
+    share = lambda n, to, i, k: max(0.0, min((i + 1) * n / to, k + 1) - max(i * n / to, k))
+    for i in range(height):
+        for j in range(width):
+            w = np.outer([share(pixels.shape[0], height, i, k) for k in range(pixels.shape[0])], [share(pixels.shape[1], width, j, k) for k in range(pixels.shape[1])])
+            out[i, j] = (w * pixels).sum() / w.sum()
+    return out
+
+
+def test_media_columns_against_plain_code(spark):
+    rows = [(1, "a"), (2, "héllo wörld " * 11), (3, None), (4, "x" * 1000), (5, "".join(chr(33 + i * 7 % 90) for i in range(64 * 31)))]
+    got = {r.doc_id: r for r in media.read_back(media.store(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for d, text in rows:
+        b = (text or "").encode()
+        h = max(1, -(-len(b) // 64))
+        payload = b + bytes(64 * h - len(b))
+        pixels = np.frombuffer(payload, np.uint8).reshape(h, 64)
+        if h % 2 == 0:
+            stored = f"P5\n64 {h}\n255\n".encode() + payload
+        else:  # BITMAPFILEHEADER, BITMAPINFOHEADER, 256 greys, rows from the bottom
+            head = b"BM" + (1078 + 64 * h).to_bytes(4, "little") + bytes(4) + (1078).to_bytes(4, "little")
+            info = b"".join(int(v).to_bytes(n, "little") for v, n in ((40, 4), (64, 4), (h, 4), (1, 2), (8, 2), (0, 4), (64 * h, 4), (2835, 4), (2835, 4), (256, 4), (0, 4)))
+            stored = head + info + b"".join(bytes([i, i, i, 0]) for i in range(256)) + pixels[::-1].tobytes()
+        r = got[d]
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        tile = np.load(__import__("io").BytesIO(r.tile))
+        assert tile.shape == (16, 16) and tile.dtype == np.uint8 and np.abs(tile - plain_means(pixels, 16, 16)).max() <= 0.5 + 1e-6
+        small = np.rint(plain_means(pixels, 8, 9) * 1024)
+        bits = "".join("1" if small[i, j] < small[i, j + 1] else "0" for i in range(8) for j in range(8))
+        assert r.feature == f"{int(bits, 2):016x}:{hashlib.sha256(r.tile).hexdigest()}"
+
+
+def test_very_long_texts(spark, encoding):
+    rows = [(1, "word " * 400_000), (2, "x" * 100_000), (3, "é" * 1_000_000), (4, "y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in bpe.encode(docs.where("doc_id <> 3"), vocabulary(), others=["doc_id"], with_ids=False).collect():
+        assert r.decoded_sha256 == hashlib.sha256(rows[r.doc_id - 1][1].encode()).hexdigest()
+    assert {r.doc_id: r.n_bytes for r in media.read_back(media.store(docs)).collect()} == {d: len(t.encode()) for d, t in rows}
+    labels = spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")
+    assert quality.classify(docs, labels).count() == 4
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 4)}
+    assert imatch.edited_report(docs, 0.1, 0.9).count() == 4
+
+
 def test_media_formats(spark):
     rnd = np.random.default_rng(6)
     for shape in ((5, 7), (3, 4, 3), (1, 1), (2, 9, 3)):
