@@ -4,7 +4,7 @@ Trusted positives are learn rows that the labels call good; the unlabelled set i
 without regard to their labels. With class prior p the risk is p R+(f) + max(0, Ru-(f) - p R+-(f)),
 under the squared loss (1 - y f)^2 / 4. The prior is the share of good rows among the labelled learn
 rows. Under this loss the risk of a linear f depends on the first and second moments of both sets
-alone, so it is minimised over all their rows: one pass sums the moments, row by row of the matrix,
+alone, so it is minimised over all unlabelled rows and about TRUSTED positives: one pass sums the moments, row by row of the matrix,
 and the driver gets N_FEATURES + 1 rows whatever the corpus. The features are shares of pairs of byte
 classes, of the words' shapes and of repeated words, all over the whole text.
 
@@ -38,6 +38,8 @@ def _byte_classes() -> np.ndarray:
 
 CLASSES, WIDTH = _byte_classes(), 24
 N_FEATURES = WIDTH * WIDTH + 6
+#: Trusted positives that are used, about: of more, those of least hash. Their ids are broadcast. The unlabelled side has no bound.
+TRUSTED = 50_000
 #: What is added to the second moments, as a share of each feature's variance.
 RIDGE = 0.1
 
@@ -138,12 +140,13 @@ def held_out(id_column: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"):
-    """The model for score(): weights, and the prior. Held-out rows are in neither set, nor in the prior; all others are in."""
+    """The model for score(): weights, and the prior. Held-out rows are in neither set, nor in the prior."""
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_column).alias("id")).agg((F.avg(F.col("quality").cast("double")) >= 0.5).alias("good")).where(~held_out(F.col("id")))
     n, n_good = good.agg(F.count("*"), F.coalesce(F.count_if("good"), F.lit(0))).first()
     prior = min(0.98, max(0.02, n_good / n)) if n else 0.5
     own = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL AND id IS NOT NULL").where(~held_out(F.col("id")))
-    marked = own.join(good.where("good"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    share = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) * max(1, n_good) < (1 << 20) * TRUSTED
+    marked = own.join(F.broadcast(good.where(F.col("good") & share)), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     found = marked.mapInArrow(_measure, "i int, u binary, p binary").groupBy("i").applyInArrow(_summed, "i int, u binary, p binary").toArrow().to_pylist()
     u, p = (np.zeros((N_FEATURES + 1, N_FEATURES + 1)) for _ in range(2))
     for row in found:
