@@ -19,6 +19,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", jumps: int = 1, rou
     """
     pairs = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok")).where("ok").select("a", "b")
     left = written(pairs.distinct())
+    if left.isEmpty():
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = None
     for _ in range(rounds):
         ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")

@@ -44,7 +44,7 @@ def simplify(rings: DataFrame, tolerance: float) -> DataFrame:
 
 
 def combine(left: DataFrame, right: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
-    """Each left feature with the right features that `pairs` (left, right) names, one after the other: 'difference' or 'union'.
+    """Each left feature with the right features that `pairs` (left, right) names, one after the other: 'difference', 'union' or 'intersection'.
 
     Features without a pair stay. A feature's rings and those of its pairs are one group; a feature is what one task must hold.
     """
@@ -85,6 +85,18 @@ def dissolve(rings: DataFrame, into: str = "all") -> DataFrame:
     return rings.select("feature", "part", "ring", "seq", "x", "y").groupBy(F.lit(into).alias("k")).applyInPandas(lambda rows: run(rows.drop(columns="k", errors="ignore")), RINGS)
 
 
+def unite(pieces: DataFrame) -> DataFrame:
+    """Each feature as one shape that covers what any of its pieces (feature, piece, part, ring, seq, x, y) covers. Features spread."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        shape: list = []
+        for _, r in rows.groupby("piece", sort=True):
+            shape = kernels.boolean(shape, _shape(r), "union") if shape else _shape(r)
+        return _rows(rows.feature.iloc[0], shape)
+
+    return pieces.select("feature", "piece", "part", "ring", "seq", "x", "y").groupBy("feature").applyInPandas(run, RINGS)
+
+
 def validity(rings: DataFrame) -> DataFrame:
     """feature, part, ring, crossings, is_valid: whether a ring has three points and never crosses itself."""
 

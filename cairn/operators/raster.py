@@ -1,7 +1,7 @@
 """Raster operators over cells (row, col, z and more), one row for each cell.
 
-Cells without a value have z NULL. Several rasters can lie in one table: `by` names the columns
-that tell them apart, and every operator then works on all of them in one plan.
+Cells without a value have z NULL. Several rasters can lie in one table: operators with `by`, which
+names the columns that tell them apart, then work on all of them in one plan.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.geometry import edges
-from cairn.operators.graph import components
+from cairn.functions.geometry import edges, segment_distance
+from cairn.operators import tiling
 from cairn.params import DEFAULT, Params
 
 CELL = ("row", "col")
@@ -65,13 +65,13 @@ def decimate(cells: DataFrame, step: int) -> DataFrame:
     return cells.where((F.col("row") % step == 0) & (F.col("col") % step == 0)).withColumns({"row": F.expr(f"cast(row div {step} as int)"), "col": F.expr(f"cast(col div {step} as int)")})
 
 
-def mosaic(layers: list[DataFrame]) -> DataFrame:
+def mosaic(layers: list[DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
     """One raster of several; where they overlap, the last that has a value wins."""
     stacked = None
     for i, layer in enumerate(layers):
-        own = layer.select("row", "col", "z").where("z IS NOT NULL").withColumn("layer", F.lit(i))
+        own = layer.select(*by, "row", "col", "z").where("z IS NOT NULL").withColumn("layer", F.lit(i))
         stacked = own if stacked is None else stacked.unionByName(own)
-    return stacked.groupBy(*CELL).agg(F.max_by("z", "layer").alias("z"), F.max("layer").alias("layer"))
+    return stacked.groupBy(*by, *CELL).agg(F.max_by("z", "layer").alias("z"), F.max("layer").alias("layer"))
 
 
 def kernel(sigma: float) -> list[float]:
@@ -81,41 +81,15 @@ def kernel(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def _pass(cells: DataFrame, axis: str, other: str, n: Column, weights: list[float], values: list[str], by: tuple[str, ...]) -> DataFrame:
-    """One axis of blur(): every cell hands its weighted values to the cells within reach, also those that see it mirrored."""
-    r = len(weights) // 2
-    table = F.array(*(F.lit(w) for w in weights))
-    images = F.sequence(-F.ceil((n + r) / (2 * n)).cast("int"), F.ceil((n + r) / (2 * n)).cast("int"))
-    seen = F.flatten(F.transform(images, lambda m: F.array(F.col(axis) + 2 * n * m, -1 - F.col(axis) + 2 * n * m)))
-    near = F.filter(seen, lambda p: (p >= -r) & (p <= n - 1 + r))
-    spread = cells.withColumn("seen", F.explode(near)).withColumn("to", F.explode(F.sequence(F.greatest(F.lit(0), F.col("seen") - r), F.least(n - 1, F.col("seen") + r))))
-    weight = F.element_at(table, (F.col("seen") - F.col("to") + r + 1).cast("int"))
-    return spread.groupBy(*by, F.col("to").alias(axis), other).agg(*(F.sum(weight * F.col(v)).alias(v) for v in values), *(F.first(c).alias(c) for c in ("n_rows", "n_cols")))
-
-
 def blur(cells: DataFrame, sigma: float, values: list[str], by: tuple[str, ...] = (), shape: tuple[int, int] | None = None) -> DataFrame:
     """Separable Gaussian blur of the value columns over a full grid from (0, 0), mirrored at the rim. Cells that are
-    missing count as 0. Partial sums combine before each of the two shuffles."""
-    if shape is None:
-        if by:
-            size = cells.groupBy(*by).agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
-            sized = cells.join(size, list(by))
-        else:
-            size = cells.agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
-            sized = cells.crossJoin(F.broadcast(size))  # one row
-    else:
-        sized = cells.withColumns({"n_rows": F.lit(shape[0]), "n_cols": F.lit(shape[1])})
-    weights = kernel(sigma)
-    sized = sized.select(*by, *CELL, "n_rows", "n_cols", *values)
-    down = _pass(sized, "row", "col", F.col("n_rows"), weights, values, by)
-    return _pass(down, "col", "row", F.col("n_cols"), weights, values, by).select(*by, *CELL, *values)
-
-
-def masked_blur(cells: DataFrame, sigma: float, by: tuple[str, ...] = ()) -> DataFrame:
+    missing count as 0. One shuffle deals cells to tiles with halos."""
+    return tiling.blur(cells, kernel(sigma), values, by, shape)
+
+
+def masked_blur(cells: DataFrame, sigma: float, by: tuple[str, ...] = (), shape: tuple[int, int] | None = None) -> DataFrame:
     """row, col, z, weight, blurred: blur over the cells that have a value, renormalised; null where none is near."""
-    own = cells.select(*by, *CELL, F.coalesce(F.col("z").cast("double"), F.lit(0.0)).alias("zs"), F.when(F.col("z").isNull(), 0.0).otherwise(1.0).alias("ws"))
-    got = blur(own, sigma, ["zs", "ws"], by)
-    return cells.select(*by, *CELL, "z").join(got, [*by, *CELL]).select(*by, *CELL, "z", F.col("ws").alias("weight"), F.when(F.col("ws") > 0, F.col("zs") / F.col("ws")).alias("blurred"))
+    return tiling.masked_blur(cells, kernel(sigma), by, shape)
 
 
 def blend(raw: Column, blurred: Column, p: Params = DEFAULT) -> Column:
@@ -124,56 +98,84 @@ def blend(raw: Column, blurred: Column, p: Params = DEFAULT) -> Column:
     return F.when(raw - blurred > p.peak_m, peak).otherwise(F.lit(p.dem_blend) * blurred + F.lit(1 - p.dem_blend) * raw)
 
 
-def label(mask: DataFrame, n_cols: int) -> DataFrame:
-    """row, col, component of each cell of the mask: four neighbours, the least row * n_cols + col names a component.
+def label(mask: DataFrame, n_cols: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """row, col, component of each cell of the mask: four neighbours, the least row * n_cols + col names a component."""
+    return tiling.label(mask, n_cols, by)
 
-    The nodes of the graph are runs of cells in a row, not cells; runs meet where cells of two rows do.
-    """
-    own = mask.select(*CELL)
-    order = Window.partitionBy("row").orderBy("col")
-    runs = own.withColumn("k", F.col("col") - F.row_number().over(order))
-    runs = runs.withColumn("run", F.min(F.col("row").cast("long") * n_cols + F.col("col")).over(Window.partitionBy("row", "k"))).select(*CELL, "run")
-    below = runs.select((F.col("row") - 1).alias("row"), "col", F.col("run").alias("b"))
-    found = components(runs.join(below, list(CELL)).select(F.col("run").alias("a"), "b").distinct(), jumps=4)
-    return runs.join(found.withColumnRenamed("node", "run"), "run", "left").select(*CELL, F.coalesce("component", "run").alias("component"))
 
-
-def large_components(labelled: DataFrame, least: int) -> DataFrame:
+def large_components(labelled: DataFrame, least: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The cells of components with at least that many."""
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    return labelled.join(sizes, "component")
+    sizes = labelled.groupBy(*by, "component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return labelled.join(sizes, [*by, "component"])
 
 
 def grid(n_rows: int, n_cols: int, spark) -> DataFrame:
     return spark.range(n_rows * n_cols).select(F.expr(f"cast(id div {n_cols} as int)").alias("row"), (F.col("id") % n_cols).cast("int").alias("col"))
 
 
-def fill_holes(mask: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+def fill_holes(mask: DataFrame, n_rows: int, n_cols: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The mask and the cells outside of it from which no path of four neighbours leads to the rim."""
-    outside = grid(n_rows, n_cols, mask.sparkSession).join(mask.select(*CELL), list(CELL), "left_anti")
-    labelled = label(outside, n_cols)
+    full = grid(n_rows, n_cols, mask.sparkSession)
+    if by:
+        span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        full = mask.select(*by).distinct().withColumn("row", span(n_rows)).withColumn("col", span(n_cols))
+    outside = full.join(mask.select(*by, *CELL), [*by, *CELL], "left_anti")
+    labelled = label(outside, n_cols, by)
     rim = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == n_rows - 1) | (F.col("col") == n_cols - 1)
-    open_ = labelled.where(rim).select("component").distinct()
-    return mask.select(*CELL).unionByName(labelled.join(open_, "component", "left_anti").select(*CELL))
+    open_ = labelled.where(rim).select(*by, "component").distinct()
+    return mask.select(*by, *CELL).unionByName(labelled.join(open_, [*by, "component"], "left_anti").select(*by, *CELL))
+
+
+CROSS = ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))
+
+
+def _crossed(mask: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """A row for each cell of the mask and each of the cross around it."""
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in CROSS))
+    return mask.select(*by, *CELL, F.explode(steps).alias("s")).select(*by, (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
 
 
 def dilate(mask: DataFrame, times: int, n_rows: int, n_cols: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The mask grown by a cross, as often."""
     for _ in range(times):
-        steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))))
-        grown = mask.select(*by, *CELL, F.explode(steps).alias("s")).select(*by, (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
-        mask = grown.where(F.col("row").between(0, n_rows - 1) & F.col("col").between(0, n_cols - 1)).distinct()
+        mask = _crossed(mask, by).where(F.col("row").between(0, n_rows - 1) & F.col("col").between(0, n_cols - 1)).distinct()
+    return mask
+
+
+def close(mask: DataFrame, times: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The mask grown by a cross, as often, and then shrunk as often: gaps of up to twice that width close, nothing is lost."""
+    for _ in range(times):
+        mask = _crossed(mask, by).distinct()
+    for _ in range(times):
+        mask = _crossed(mask, by).groupBy(*by, *CELL).agg(F.count("*").alias("k")).where(F.col("k") == len(CROSS)).drop("k")
     return mask
 
 
-def smooth(cells: DataFrame, n_rows: int, n_cols: int, p: Params = DEFAULT, nodata: float = 0.0) -> DataFrame:
+def line_mask(lines: DataFrame, reach: float, n_rows: int, n_cols: int) -> DataFrame:
+    """row, col: cells of the grid whose centre lies within `reach` cells of a line (x, y, x2, y2): the lines' buffer, as cells.
+
+    Lines are cut into pieces no longer than the reach (or a cell), so each meets only the few cells around it.
+    """
+    length = F.sqrt(F.pow(F.col("x2") - F.col("x"), F.lit(2)) + F.pow(F.col("y2") - F.col("y"), F.lit(2)))
+    cut = lines.select("x", "y", "x2", "y2", F.greatest(F.lit(1), F.ceil(length / max(reach, 1.0))).cast("int").alias("k")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    at = lambda c, i: F.col(c) + (F.col(f"{c}2") - F.col(c)) * i / F.col("k")
+    pieces = cut.select(*(at(c, F.col("i") + j).alias(f"{c}{j}") for c in "xy" for j in (0, 1)))
+    first = lambda c: F.greatest(F.lit(0), F.ceil(F.least(f"{c}0", f"{c}1") - reach - 0.5).cast("int"))
+    last = lambda c, n: F.least(F.lit(n - 1), F.floor(F.greatest(f"{c}0", f"{c}1") + reach - 0.5).cast("int"))
+    boxed = pieces.withColumns({"r0": first("y"), "r1": last("y", n_rows), "c0": first("x"), "c1": last("x", n_cols)}).where("r0 <= r1 AND c0 <= c1")
+    near = boxed.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    return near.where(segment_distance(F.col("col") + 0.5, F.col("row") + 0.5, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) <= reach).select(*CELL).distinct()
+
+
+def smooth(cells: DataFrame, n_rows: int, n_cols: int, p: Params = DEFAULT, nodata: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """row, col, z: the whole smoother over a full grid. Components, small ones dropped, holes filled, mask softened, sea
     padded, masked blur, blend. z is null outside the softened mask."""
-    labelled = label(cells.where((F.col("z") != nodata) & F.col("z").isNotNull()), n_cols)
-    mask = fill_holes(large_components(labelled, p.min_component_pixels), n_rows, n_cols)
-    soft = blur(mask.withColumn("m", F.lit(1.0)), p.mask_sigma, ["m"], shape=(n_rows, n_cols)).where(F.col("m") > p.mask_threshold).select(*CELL, F.lit(True).alias("inside"))
-    raw = cells.select(*CELL, "z").join(soft, list(CELL), "left").select(*CELL, sea_fill(F.col("z"), F.coalesce("inside", F.lit(False)), p).cast("double").alias("z"))
-    return masked_blur(raw, p.dem_sigma).select(*CELL, blend(F.col("z"), F.col("blurred"), p).alias("z"))
+    at = [*by, *CELL]
+    labelled = label(cells.where((F.col("z") != nodata) & F.col("z").isNotNull()), n_cols, by)
+    mask = fill_holes(large_components(labelled, p.min_component_pixels, by), n_rows, n_cols, by)
+    soft = blur(mask.withColumn("m", F.lit(1.0)), p.mask_sigma, ["m"], by, (n_rows, n_cols)).where(F.col("m") > p.mask_threshold).select(*at, F.lit(True).alias("inside"))
+    raw = cells.select(*at, "z").join(soft, at, "left").select(*at, sea_fill(F.col("z"), F.coalesce("inside", F.lit(False)), p).cast("double").alias("z"))
+    return masked_blur(raw, p.dem_sigma, by, (n_rows, n_cols)).select(*at, blend(F.col("z"), F.col("blurred"), p).alias("z"))
 
 
 def coverage(cells: DataFrame, rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -188,11 +190,12 @@ def grade(covered: Column) -> Column:
     return F.when(covered >= 98, "excellent").when(covered >= 95, "good").when(covered >= 90, "acceptable").otherwise("poor")
 
 
-def to_byte(cells: DataFrame) -> DataFrame:
+def to_byte(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """row, col, byte: z from least to greatest over 0 to 255, cut to whole numbers."""
-    ends = cells.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    ends = cells.groupBy(*by).agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
     share = (F.col("z") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0))
-    return cells.crossJoin(F.broadcast(ends)).select(*CELL, F.floor(255 * share).cast("int").alias("byte"))
+    with_ends = cells.join(ends, list(by)) if by else cells.crossJoin(F.broadcast(ends))  # one row
+    return with_ends.select(*by, *CELL, F.floor(255 * share).cast("int").alias("byte"))
 
 
 def reproject_average(cells: DataFrame, x: Column, y: Column, size: float) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions import geometry
 from cairn.functions.geometry import edges, measures, segment_distance
+from cairn.operators import overlay
 from cairn.params import DEFAULT, Params
 
 
@@ -58,9 +60,7 @@ def keep_parts(rings: DataFrame, rules: DataFrame, default_top: int | None = Non
 
 def large_holes(rings: DataFrame, least: float) -> DataFrame:
     """feature, part, ring, area of interior rings of at least that area."""
-    from cairn.functions.geometry import ring_measures
-
-    return ring_measures(rings).where((F.col("ring") > 0) & (F.col("area") >= least)).select("feature", "part", "ring", "area")
+    return geometry.ring_measures(rings).where((F.col("ring") > 0) & (F.col("area") >= least)).select("feature", "part", "ring", "area")
 
 
 def box_bins(rings: DataFrame, size: float) -> DataFrame:
@@ -126,12 +126,74 @@ def bridges(rings: DataFrame, areas: DataFrame, p: Params = DEFAULT) -> DataFram
     return isles.join(nearest_points(rings), ["feature", "part"]).select("feature", "part", "area_km2", km.alias("km"), F.when(km > p.bridge_max_km, "too far").otherwise("bridge").alias("status"), "ix", "iy", "mx", "my")
 
 
-def bridge_rings(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Each bridge as a ring of four points: the line with flat ends, bridge_width_km to either side (so twice as wide in all)."""
+#: Degrees by which a bridge reaches into either shore, so that its end does not run along a border.
+PAST = 0.001
+
+
+def bridge_rings(lines: DataFrame, p: Params = DEFAULT, past: float = 0.0) -> DataFrame:
+    """Each bridge as a ring of four points: the line with flat ends, bridge_width_km to either side (so twice as wide in all),
+    longer by `past` at both ends."""
     half = F.lit(p.bridge_width_km / p.km_per_degree)
     dx, dy = F.col("mx") - F.col("ix"), F.col("my") - F.col("iy")
     length = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
+    lines = lines.withColumns({"ix": F.col("ix") - dx / length * past, "iy": F.col("iy") - dy / length * past, "mx": F.col("mx") + dx / length * past, "my": F.col("my") + dy / length * past}) if past else lines
     ox, oy = -dy / length * half, dx / length * half
     at = lambda i, x, y: F.struct(F.lit(i).alias("seq"), x.alias("x"), y.alias("y"))
     four = F.array(at(0, F.col("ix") + ox, F.col("iy") + oy), at(1, F.col("mx") + ox, F.col("my") + oy), at(2, F.col("mx") - ox, F.col("my") - oy), at(3, F.col("ix") - ox, F.col("iy") - oy))
     return lines.where("status = 'bridge'").select(F.concat_ws(":", "feature", "part").alias("feature"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.explode(four).alias("v")).select("feature", "part", "ring", "v.*").where("x IS NOT NULL")
+
+
+def join_islands(rings: DataFrame, areas: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Rings of each feature as one shape: its largest part, the islands that get a bridge, and the bridges. Other islands go.
+
+    areas: feature, part, area_km2. All features in one plan; a feature is what one task must hold.
+    """
+    lines = bridges(rings, areas, p).where("status = 'bridge'")
+    order = Window.partitionBy("feature").orderBy(F.col("area_km2").desc(), "part")
+    main = areas.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("feature", "part")
+    stay = main.unionByName(lines.select("feature", "part")).withColumn("piece", F.concat(F.lit("part "), F.col("part").cast("string")))
+    land = rings.join(stay, ["feature", "part"]).select("feature", "piece", "part", "ring", "seq", "x", "y")
+    named = lines.select("feature", F.concat_ws(":", "feature", "part").alias("bridge"))
+    spans = bridge_rings(lines, p, PAST).withColumnRenamed("feature", "bridge").join(named, "bridge")
+    return overlay.unite(land.unionByName(spans.select("feature", F.concat(F.lit("to "), F.col("bridge")).alias("piece"), "part", "ring", "seq", "x", "y")))
+
+
+def equal_area_km2(rings: DataFrame) -> DataFrame:
+    """feature, km2: areas of shapes in degrees, by a cylindrical equal-area projection."""
+    x, y = geometry.equal_area_cylinder(F.col("x"), F.col("y"))
+    flat = rings.select("feature", "part", "ring", "seq", x.alias("x"), y.alias("y"))
+    return measures(flat).select("feature", (F.col("area") / 1e6).alias("km2"))
+
+
+def merge_lakes(features: DataFrame, rings: DataFrame, lakes: DataFrame, least_km2: float = DEFAULT.merged_lake_min_km2) -> tuple[DataFrame, DataFrame]:
+    """The features' rings without the lakes of at least least_km2 that meet them, and the features with lakes (cut) and holes
+    (left in the result). Features without lakes stay as they are."""
+    large = equal_area_km2(lakes).where(F.col("km2") >= least_km2).select(F.col("feature").alias("right"))
+    near = box_pairs(rings, lakes).join(large, "right", "left_semi").withColumn("pair", F.concat_ws("\x1f", "left", "right"))
+    shape = ["part", "ring", "seq", "x", "y"]
+    mine = rings.join(near.withColumnRenamed("left", "feature"), "feature").select(F.col("pair").alias("feature"), *shape)
+    other = lakes.join(near.withColumnRenamed("right", "feature"), "feature").select(F.col("pair").alias("feature"), *shape)
+    met = overlay.combine(mine, other, near.select(F.col("pair").alias("left"), F.col("pair").alias("right")), "intersection").select("feature").distinct()
+    pairs = met.select(F.split("feature", "\x1f")[0].alias("left"), F.split("feature", "\x1f")[1].alias("right"))
+    merged = overlay.combine(rings, lakes, pairs, "difference")
+    cut = pairs.groupBy(F.col("left").alias("feature")).agg(F.count("*").alias("lakes"))
+    holes = merged.where("ring > 0").groupBy("feature").agg(F.countDistinct("part", "ring").alias("holes"))
+    counts = features.join(cut, "feature", "left").join(holes, "feature", "left")
+    return merged, counts.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("lakes", "holes")})
+
+
+def capital_mm(places: DataFrame, transform: dict[str, float], n_rows: int, n_cols: int, p: Params = DEFAULT, conic: tuple[float, ...] | None = None) -> DataFrame:
+    """The places (lon, lat) with x_mm and y_mm of their cell on a print of every p.step-th cell; null outside the raster.
+
+    conic: of a raster in an equal-area conic, its lat_1, lat_2, lat_0, lon_0; else the raster is in degrees.
+    """
+    x, y = (F.col("lon"), F.col("lat")) if conic is None else geometry.albers(F.col("lon"), F.col("lat"), *conic[:4])
+    row, col = (F.floor(c) for c in geometry.inverse(x, y, transform))
+    inside = row.between(0, n_rows - 1) & col.between(0, n_cols - 1)
+    mm = lambda c: F.when(inside, F.floor(c / p.step) * (p.step * p.mm_per_pixel))
+    return places.withColumns({"x_mm": mm(col), "y_mm": mm(row)})
+
+
+def with_points(rings: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """feature, part, ring, points of exteriors with p.min_ring_points at least, the closing point counted."""
+    return geometry.ring_measures(rings).where((F.col("ring") == 0) & (F.col("points") + 1 >= p.min_ring_points)).select("feature", "part", "ring", "points")

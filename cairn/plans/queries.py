@@ -143,16 +143,6 @@ def feature_filters(spark, sf_dir):
     return kept.orderBy("name").limit(10).crossJoin(kept.agg((F.count("*") - 10).alias("others")))
 
 
-JSON = '{"Land A": {"city": "A", "lon": 1.5, "lat": -2.5}, "Land B": {"city": "B", "lon": 44.8271, "lat": 41.7151}, "Land C": {"city": null, "lon": null, "lat": null}}'
-
-
-@query("SELECT * FROM (VALUES ('Land A', 'A', 1.5::DOUBLE, -2.5::DOUBLE, true), ('Land B', 'B', 44.8271::DOUBLE, 41.7151::DOUBLE, false)) t(country, city, lon, lat, chosen)")
-def capitals_json_map(spark, sf_dir):
-    table = F.map_filter(F.from_json(F.lit(JSON), "map<string,struct<city:string,lon:double,lat:double>>"), lambda k, v: v["city"].isNotNull())
-    rows = spark.range(1).select(F.explode(table).alias("country", "c"), F.element_at(table, "Land A")["city"].alias("first"))
-    return rows.select("country", "c.city", "c.lon", "c.lat", (F.col("c.city") == F.col("first")).alias("chosen"))
-
-
 # ---- plane geometry
 
 MEASURES = SHAPED + ", " + fx.measured("edges", "m")
@@ -182,15 +172,15 @@ s AS (SELECT *, sqrt(e2) AS e, sin(radians(lat1)) AS s1, sin(radians(lat2)) AS s
 q AS (SELECT *, (1 - e2) * (s1 / (1 - e2 * s1 * s1) - ln((1 - e * s1) / (1 + e * s1)) / (2 * e)) AS q1, (1 - e2) * (s2 / (1 - e2 * s2 * s2) - ln((1 - e * s2) / (1 + e * s2)) / (2 * e)) AS q2, (1 - e2) * (s0 / (1 - e2 * s0 * s0) - ln((1 - e * s0) / (1 + e * s0)) / (2 * e)) AS q0,
  (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) ** 2) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) AS q, cos(radians(lat1)) ** 2 / (1 - e2 * s1 * s1) AS m1, cos(radians(lat2)) ** 2 / (1 - e2 * s2 * s2) AS m2 FROM s),
 n AS (SELECT *, (m1 - m2) / (q2 - q1) AS n FROM q), r AS (SELECT *, sqrt(greatest(0, m1 + n * q1 - n * q)) / n AS rho, sqrt(m1 + n * q1 - n * q0) / n AS rho0 FROM n)
-SELECT region, id, round(6378137 * rho * sin(n * radians(lon - lon0)), 3) AS x, round(6378137 * (rho0 - rho * cos(n * radians(lon - lon0))), 3) AS y FROM r WHERE abs(lon - lon0) < 90""")
+SELECT region, id, round(6378137 * rho * sin(n * radians(lon - lon0)), 3) AS x, round(6378137 * (rho0 - rho * cos(n * radians(lon - lon0))), 3) AS y FROM r""")
 def albers_forward(spark, sf_dir):
     key = F.col("c_custkey")
     places = fx.table(spark, sf_dir, "customer").select(key.alias("id"), (key * 13 % 360 - 180.0).alias("lon"), (key * 7 % 140 - 70.0).alias("lat"))
     out = []
     for region, (lat_1, lat_2, lat_0, lon_0, _) in tiles.CONICS.items():
         x, y = g.albers(F.col("lon"), F.col("lat"), lat_1, lat_2, lat_0, lon_0)
-        out.append(F.when(F.abs(F.col("lon") - lon_0) < 90, F.struct(F.lit(region).alias("region"), r6(x, 3).alias("x"), r6(y, 3).alias("y"))))
-    return places.select("id", F.explode(F.array_compact(F.array(*out))).alias("p")).select("p.region", "id", "p.x", "p.y")
+        out.append(F.struct(F.lit(region).alias("region"), r6(x, 3).alias("x"), r6(y, 3).alias("y")))
+    return places.select("id", F.explode(F.array(*out)).alias("p")).select("p.region", "id", "p.x", "p.y")
 
 
 AF = {k: f"({v})" for k, v in fx.AFFINE.items()}
@@ -637,11 +627,14 @@ def _whole_solid(spark, sf_dir):
     return mesh.with_corners(faces, mesh.solid_vertices(mesh.surface_vertices(full, N), N * N)).withColumn("mesh_id", F.lit("m"))
 
 
-@query(QUADS + " SELECT true AS reached, true AS is_volume")
+@query(GRIDDED + "SELECT (4 * max(row) * max(col) + 4 * (max(row) + max(col)))::BIGINT AS faces_before, true AS reached, true AS is_volume, max(col) * 0.25::DOUBLE AS size_x, max(row) * 0.25::DOUBLE AS size_y FROM grid")
 def decimate_mesh(spark, sf_dir):
-    small = written(overlay.decimate(_whole_solid(spark, sf_dir), target=200))
+    whole = _whole_solid(spark, sf_dir)
+    small = written(overlay.decimate(whole, target=200))
     corner = lambda c: F.xxhash64(*(F.round(f"{c}{k}", 9) for k in "xyz")).alias(c)
-    return small.agg((F.count("*") <= 200).alias("reached")).crossJoin(mesh.soundness(small.select(corner("a"), corner("b"), corner("c"))).select("is_volume"))
+    size = lambda k: r6(F.max(F.greatest(*(f"{c}{k}" for c in "abc"))) - F.min(F.least(*(f"{c}{k}" for c in "abc")))).alias(f"size_{k}")
+    before = whole.agg(F.count("*").alias("faces_before"))
+    return small.agg((F.count("*") <= 200).alias("reached"), size("x"), size("y")).crossJoin(before).crossJoin(mesh.soundness(small.select(corner("a"), corner("b"), corner("c"))).select("is_volume"))
 
 
 @query("SELECT * FROM (VALUES ('box', 900.0::DOUBLE, 1::BIGINT), ('extruded', 120.0::DOUBLE, 16::BIGINT), ('mended', 120.0::DOUBLE, 16::BIGINT), ('repaired', 50.0::DOUBLE, 2::BIGINT), ('union', 175.0::DOUBLE, 1::BIGINT)) t(what, measure, n)")
@@ -661,3 +654,6 @@ def union_and_overlay_area(spark, sf_dir):
     soup = prism.withColumn("mesh_id", F.lit("ell"))
     mended = one("mended", overlay.mend(soup).agg(F.sum(six).alias("v"), F.count_if((F.col("az") == F.col("bz")) & (F.col("bz") == F.col("cz"))).alias("n")), "v", "n")
     return union.unionByName(box).unionByName(fixed).unionByName(extruded).unionByName(mended)
+
+
+from cairn.plans import shapes  # noqa: E402,F401  registers its queries

@@ -14,6 +14,10 @@ from cairn.params import DEFAULT, Params
 from cairn.sources import formats
 
 
+#: Regions that share another one's projection.
+PROJECTED_AS = {"caucasus_central_asia": "asia_2km", "central_america": "north_central_america"}
+
+
 def region_rings(features: DataFrame, rings: DataFrame, region: str, p: Params = DEFAULT, only: list[str] | None = None) -> DataFrame:
     """Rings, in metres of the region's projection, of its countries: chosen, parts kept by rule, simplified, projected.
 
@@ -29,7 +33,7 @@ def region_rings(features: DataFrame, rings: DataFrame, region: str, p: Params =
         own = own.where(F.col("feature").isin(only))
     kept = vector.keep_parts(own, regions.rules(own.sparkSession), regions.TOP_PARTS[region])
     few = overlay.simplify(kept, p.simplify_degrees)
-    x, y = geometry.albers(F.col("x"), F.col("y"), *tiles.CONICS.get(region, tiles.CONICS["north_central_america"])[:4])
+    x, y = geometry.albers(F.col("x"), F.col("y"), *tiles.CONICS[PROJECTED_AS.get(region, region)][:4])
     return few.select("feature", "part", "ring", "seq", x.alias("x"), y.alias("y"))
 
 

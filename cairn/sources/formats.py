@@ -214,6 +214,30 @@ def read_cells(spark: SparkSession, path: str, box: tuple[int, int, int, int] |
     return cells.drop("tile_row", "tile_col")
 
 
+_COORDINATES = "array<array<array<array<double>>>>"
+
+
+def write_features(features: DataFrame, rings: DataFrame, path: str) -> None:
+    """GeoJSON, a feature a line: features (feature, attributes as a map of strings) with their rings as a MultiPolygon."""
+    point = F.struct("seq", F.array("x", "y").alias("at"))
+    ring = rings.groupBy("feature", "part", "ring").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    ring = ring.select("feature", "part", F.struct("ring", F.concat(F.transform("points", lambda p: p["at"]), F.array(F.col("points")[0]["at"])).alias("closed")).alias("r"))
+    part = ring.groupBy("feature", "part").agg(F.array_sort(F.collect_list("r")).alias("rs")).select("feature", F.struct("part", F.transform("rs", lambda r: r["closed"]).alias("rings")).alias("p"))
+    shape = part.groupBy("feature").agg(F.array_sort(F.collect_list("p")).alias("ps")).select("feature", F.transform("ps", lambda p: p["rings"]).alias("coordinates"))
+    row = F.struct(F.lit("Feature").alias("type"), F.col("feature").alias("id"), F.col("attributes").alias("properties"), F.struct(F.lit("MultiPolygon").alias("type"), F.col("coordinates")).alias("geometry"))
+    write_lines(features.join(shape, "feature").select(F.to_json(row).alias("value")), path)
+
+
+def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_features() wrote: features and rings. Lines that aren't MultiPolygon features are left out."""
+    row = F.from_json("value", f"struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:{_COORDINATES}>>")
+    found = spark.read.text(path).select(row.alias("f")).where("f.geometry.type = 'MultiPolygon'").select(F.col("f.id").alias("feature"), F.col("f.properties").alias("attributes"), F.col("f.geometry.coordinates").alias("parts"))
+    parts = found.select("feature", F.posexplode("parts").alias("part", "rings"))
+    each = parts.select("feature", "part", F.posexplode("rings").alias("ring", "points"))
+    points = each.select("feature", "part", "ring", F.posexplode(F.slice("points", 1, F.size("points") - 1)).alias("seq", "at"))
+    return found.select("feature", "attributes"), points.select("feature", "part", "ring", "seq", F.col("at")[0].alias("x"), F.col("at")[1].alias("y"))
+
+
 def write_lines(lines: DataFrame, path: str, column: str = "value") -> None:
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 

@@ -230,7 +230,12 @@ def test_region_rings(spark):
     square = lambda f, part, x, y, s: [(f, part, 0, i, float(a), float(b)) for i, (a, b) in enumerate([(x, y), (x + s, y), (x + s, y + s), (x, y + s)])]
     rings = fx.rings(spark, [*square("1", 0, 45, 40, 3), *square("1", 1, 40, 40, 1), *square("1", 2, 51, 40, 0.5), *square("1", 3, 48.5, 38, 0.2), *square("2", 0, 10, 10, 5)])
     features = spark.createDataFrame([("1", "Azerbaijan", "Asia"), ("2", "Elsewhere", "Asia")], "feature string, name string, continent string")
-    got = terrain.region_rings(features, rings, "caucasus_central_asia") if "caucasus_central_asia" in tiles.CONICS else terrain.region_rings(features, rings, "middle_east")
+    got = terrain.region_rings(features, rings, "caucasus_central_asia")
+    assert got.agg(F.max(F.abs("x"))).first()[0] < 5e6  # the region's own meridian is 95 degrees east
+    with pytest.raises(KeyError):
+        terrain.region_rings(features, rings, "atlantis")
+    for region in regions.COUNTRIES:
+        assert terrain.PROJECTED_AS.get(region, region) in tiles.CONICS
     assert {(r.feature, r.part) for r in got.collect()} == {("Azerbaijan", 0), ("Azerbaijan", 1), ("Azerbaijan", 2)}
     america = terrain.region_rings(spark.createDataFrame([("9", "France", "Europe")], features.schema), fx.rings(spark, square("9", 0, -60, 0, 70)), "south_america")
     assert {r.feature for r in america.collect()} == {"French Guiana"}
@@ -287,7 +292,7 @@ def test_alignment_searches_thirty_cells_each_way(spark, sf_dir, monkeypatch):
 def test_smoothing_with_production_kernels(spark):
     """Radius 40 and 18 over 64 x 64 cells, where one cell is mirrored at both rims; only small components differ from DEFAULT."""
     n, p = fx.SIDE, DEFAULT.with_(min_component_pixels=50)
-    grid = fx.grid(spark, "/root/testdata/sf0.01").select("row", "col", F.when(F.col("n") % 5 < 3, F.col("z")).otherwise(0).cast("double").alias("z")).localCheckpoint()
+    grid = fx.grid(spark, "/root/testdata/sf0.01").select("row", "col", F.when(F.col("n") % 5 < 3, F.col("z")).otherwise(0).cast("double").alias("z"))
 
     def blur(z, sigma):
         w = raster.kernel(sigma)
@@ -311,3 +316,164 @@ def test_smoothing_with_production_kernels(spark):
         got[r.row, r.col] = r.z
     assert len(raster.kernel(p.mask_sigma)) == 81 and len(raster.kernel(p.dem_sigma)) == 37 and inside.sum() > 2000
     assert (np.isnan(got) == ~inside).all() and np.allclose(got[inside], want[inside], atol=1e-6)
+
+
+def test_tiles_agree_with_one_tile(spark):
+    """Small tiles, whose halos and rims do all the work, against numpy."""
+    from cairn.operators import tiling
+
+    rng = np.random.default_rng(2)
+    z = rng.random((23, 17)) * 100
+    z[rng.random(z.shape) < 0.4] = np.nan
+    w = np.array(raster.kernel(1.2))
+    r = len(w) // 2
+
+    def blur(x):
+        for axis in (0, 1):
+            padded = np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="symmetric")
+            x = sum(w[k] * np.take(padded, range(k, k + z.shape[axis]), axis) for k in range(len(w)))
+        return x
+
+    want = blur(np.nan_to_num(z)) / blur((~np.isnan(z)).astype(float))
+    cells = cells_of(spark, [[None if np.isnan(v) else v for v in row] for row in z])
+    size, tiling.TILE = tiling.TILE, 6
+    try:
+        own = tiling.sized(cells, (), None)
+        work = lambda tile, table: dict(zip(("row", "col", "v"), (*tile.places(there := np.ones([b - a for a, b in zip(tile.low, tile.high)], bool)), tile.blurred(tile.field(np.nan_to_num(table.column("z").to_numpy().astype(float))), w)[there])))
+        got = np.zeros(z.shape)
+        for row in tiling.over_tiles(own, r, (), "row int, col int, v double", work, 6).collect():
+            got[row.row, row.col] += row.v
+        assert np.allclose(got, blur(np.nan_to_num(z)))
+    finally:
+        tiling.TILE = size
+    for row in raster.masked_blur(cells, 1.2).collect():
+        assert math.isclose(row.blurred, want[row.row, row.col], rel_tol=1e-9)
+    mask = cells.where("z IS NOT NULL")
+    names = [{(x.row, x.col): x.component for x in tiling.label(mask, 17, size=n).collect()} for n in (4, 256)]
+    assert names[0] == names[1] and len(set(names[0].values())) > 5
+
+
+def test_geotiff(spark, tmp_path):
+    from cairn.sources import geotiff
+
+    def lzw(data):
+        """Codes of nine bits alone: the table is cleared before it grows out of them."""
+        codes = []
+        for i in range(0, len(data), 200):
+            codes += [256, *data[i : i + 200]]
+        bits = "".join(f"{c:09b}" for c in [*codes, 257])
+        bits += "0" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+    def tiff(blocks, tags):
+        """Little-endian TIFF of one directory; tags: number -> (type, values)."""
+        sizes = {2: 1, 3: 2, 4: 4, 12: 8}
+        tags = dict(tags)
+        entries, extra, at = [], b"", 8 + 2 + 12 * (len(tags) + 2) + 4
+        starts, body = [], b""
+        where = at + sum(n for n in (len(v) * sizes[t] for t, v in tags.values()) if n > 4) + (8 * len(blocks) if len(blocks) > 1 else 0)
+        for b in blocks:
+            starts.append(where + len(body))
+            body += b
+        tiled = 322 in tags
+        tags[324 if tiled else 273], tags[325 if tiled else 279] = (4, starts), (4, [len(b) for b in blocks])
+        for tag, (kind, values) in sorted(tags.items()):
+            raw = bytes(values) if kind == 2 else b"".join(struct.pack("<" + {3: "H", 4: "I", 12: "d"}[kind], v) for v in values)
+            if len(raw) > 4:
+                entries.append(struct.pack("<HHII", tag, kind, len(values), at + len(extra)))
+                extra += raw
+            else:
+                entries.append(struct.pack("<HHI", tag, kind, len(values)) + raw.ljust(4, b"\0"))
+        return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(entries)) + b"".join(entries) + bytes(4) + extra + body
+
+    z = (np.arange(20 * 18).reshape(20, 18) * 7 % 501 - 100).astype("<i2")
+    place = {33550: (12, [0.5, 0.25, 0]), 33922: (12, [0, 0, 0, 10, 50, 0]), 42113: (2, b"-93\0")}
+    base = {256: (3, [18]), 257: (3, [20]), 258: (3, [16]), 277: (3, [1]), 339: (3, [2]), **place}
+    strips = [z[i : i + 8].tobytes() for i in range(0, 20, 8)]
+    steps = np.diff(z, axis=1, prepend=np.zeros((20, 1), "<i2")).astype("<i2")
+    tiles_ = []
+    for r in (0, 16):
+        for c in (0, 16):
+            block = np.zeros((16, 16), "<i2")
+            part = z[r : r + 16, c : c + 16]
+            block[: part.shape[0], : part.shape[1]] = part
+            tiles_.append(zlib.compress(block.tobytes()))
+    files = {
+        "plain": tiff(strips, base | {259: (3, [1]), 278: (3, [8])}), "lzw": tiff([lzw(s) for s in strips], base | {259: (3, [5]), 278: (3, [8])}),
+        "steps": tiff([zlib.compress(steps.tobytes())], base | {259: (3, [8]), 278: (3, [20]), 317: (3, [2])}), "tiles": tiff(tiles_, base | {259: (3, [8]), 322: (3, [16]), 323: (3, [16])}),
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.tif").write_bytes(data)
+    (tmp_path / "broken.tif").write_bytes(b"II*\0junk")
+    got = geotiff.read(spark, str(tmp_path)).collect()
+    for name in files:
+        own = {(r.row, r.col): r for r in got if r.path.endswith(f"/{name}.tif")}
+        assert len(own) == 360, name
+        assert all(own[r, c].z == (None if z[r, c] == -93 else z[r, c]) for r in range(20) for c in range(18)), name
+        assert (own[0, 0].a, own[0, 0].c, own[0, 0].e, own[0, 0].f) == (0.5, 10.0, -0.25, 50.0)
+    assert [r.path.rsplit("/", 1)[1] for r in geotiff.problems(spark, str(tmp_path)).collect()] == ["broken.tif"]
+    text = bytes(np.random.default_rng(3).integers(0, 4, 9000).astype(np.uint8))
+    assert geotiff.unpack_lzw(packed_lzw(text)) == text
+
+
+def packed_lzw(data):
+    """TIFF's LZW with widths that grow, one code early, and a cleared table when it is full."""
+    bits, table, width, word = [f"{256:09b}"], {bytes([i]): i for i in range(256)}, 9, b""
+    size = 258
+    for byte in data:
+        if word + bytes([byte]) in table:
+            word += bytes([byte])
+            continue
+        bits.append(f"{table[word]:0{width}b}")
+        table[word + bytes([byte])] = size
+        size += 1
+        word = bytes([byte])
+        if size + 1 > 1 << width and width < 12:
+            width += 1
+        if size >= 4094:
+            bits.append(f"{table[word]:0{width}b}")
+            bits.append(f"{256:0{width}b}")
+            table, width, word, size = {bytes([i]): i for i in range(256)}, 9, b"", 258
+    if word:
+        bits.append(f"{table[word]:0{width}b}")
+        size += 1
+        if size + 1 > 1 << width and width < 12:
+            width += 1
+    bits.append(f"{257:0{width}b}")
+    whole = "".join(bits)
+    whole += "0" * (-len(whole) % 8)
+    return int(whole, 2).to_bytes(len(whole) // 8, "big")
+
+
+def test_outline_of_a_mesh(spark):
+    from cairn.operators import outline
+
+    hole = cells_of(spark, [[None if (r, c) in ((2, 2), (2, 3), (3, 2), (3, 3)) else 100.0 for c in range(7)] for r in range(7)])
+    faces = mesh.surface_faces(hole, 7)
+    solid = mesh.solid_faces(faces, 49).withColumn("fid", F.monotonically_increasing_id())
+    vertices = mesh.solid_vertices(mesh.surface_vertices(hole, 7, p=DEFAULT.with_(mm_per_pixel=1.0)), 49)
+    rings = outline.rings(mesh.section(solid, vertices, 0.05).withColumn("feature", F.lit("m")))
+    areas = sorted(r.area for r in g.ring_measures(rings).collect())
+    assert np.allclose(areas, [9, 36])
+    assert outline.kept(rings, 10.0).select("part").distinct().count() == 1
+    around = outline.turned_round(rings)
+    assert around.agg(F.min("x"), F.min("y"), F.max("x")).first() == (0.0, 0.0, 6.0)
+    assert outline.footprint(around, 0.5).count() == 144  # the hole counts as covered
+    stairs = checks.stair_steps(g.edges(rings)).first()
+    assert stairs.total_boundary_edges == 24 + 12 and not stairs.is_aliased  # two pieces a side, one of them too short to count
+
+
+def test_raster_rules_by_raster(spark):
+    one = cells_of(spark, [[1, 2], [3, 5]]).withColumn("r", F.lit("a")).unionByName(cells_of(spark, [[10, 30], [20, 50]]).withColumn("r", F.lit("b")))
+    assert {(x.r, x.row, x.col): x.byte for x in raster.to_byte(one, ("r",)).collect()} == {("a", 0, 0): 0, ("a", 0, 1): 63, ("a", 1, 0): 127, ("a", 1, 1): 255, ("b", 0, 0): 0, ("b", 0, 1): 127, ("b", 1, 0): 63, ("b", 1, 1): 255}
+    top = raster.mosaic([one, one.where("r = 'b'").withColumn("z", F.col("z") + 1)], ("r",))
+    assert {(x.r, x.z) for x in top.where("row = 0 AND col = 0").collect()} == {("a", 1.0), ("b", 11.0)}
+    ring = [("x", r, c) for r in range(5) for c in range(5) if r in (0, 4) or c in (0, 4)] + [("y", 2, 2)]
+    mask = spark.createDataFrame(ring, "r string, row int, col int")
+    assert {k["r"]: k["count"] for k in raster.fill_holes(mask, 6, 6, ("r",)).groupBy("r").count().collect()} == {"x": 25, "y": 1}
+    both = cells_of(spark, [[50 + r + c for c in range(12)] for r in range(12)])
+    p = DEFAULT.with_(min_component_pixels=5, mask_sigma=1.0, dem_sigma=1.0)
+    alone = {(x.row, x.col): x.z for x in raster.smooth(both, 12, 12, p).collect()}
+    pair = both.withColumn("r", F.lit(1)).unionByName(both.withColumn("r", F.lit(2)).withColumn("z", F.col("z") * 2))
+    got = raster.smooth(pair, 12, 12, p, by=("r",)).collect()
+    assert len(got) == 288 and all(abs(x.z - alone[x.row, x.col] * x.r) < 1e-6 for x in got)
