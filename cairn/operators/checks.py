@@ -83,8 +83,3 @@ def star_holes(points: DataFrame, segments: DataFrame) -> DataFrame:
 def keep_sections(polygons: DataFrame, least: float = 0.01) -> DataFrame:
     """Section polygons (area) worth keeping."""
     return polygons.where(F.col("area") > least)
-
-
-def status(ok: Column, message: Column) -> Column:
-    """A row's outcome as a struct, instead of an error that stops all rows."""
-    return F.struct(ok.alias("ok"), F.when(~ok, message).alias("message"))

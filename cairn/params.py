@@ -46,5 +46,3 @@ class Params:
 
 
 DEFAULT = Params()
-#: Half the pixels on either axis, the same size in print.
-COARSE = DEFAULT.with_(mm_per_pixel=0.5)
