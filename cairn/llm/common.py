@@ -206,3 +206,13 @@ def hash_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         done += 1
         live = live[sizes[live] > done]
     return out
+
+
+def least_hot(table: DataFrame, least: int, most: int) -> int:
+    """The least of `least` and its doubles such that at most `most` rows have a k of so many."""
+    steps = F.floor(F.log2(F.col("k") / least)).cast("int")
+    rows = table.where(F.col("k") >= least).groupBy(steps.alias("e")).count().collect()  # 63 at most
+    e = 0
+    while sum(r["count"] for r in rows if r["e"] >= e) > most:
+        e += 1
+    return least << e

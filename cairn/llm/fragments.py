@@ -190,16 +190,6 @@ def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[list[t
         yield held
 
 
-def _least(table: DataFrame, least: int, most: int) -> int:
-    """The least of `least` and its doubles such that at most `most` rows have a k of so many."""
-    steps = F.floor(F.log2(F.col("k") / least)).cast("int")
-    rows = table.where(F.col("k") >= least).groupBy(steps.alias("e")).count().collect()  # 63 at most
-    e = 0
-    while sum(r["count"] for r in rows if r["e"] >= e) > most:
-        e += 1
-    return least << e
-
-
 def repeated(docs: DataFrame, symbols: Symbols, kernel, kernel_schema: str, of_verdict: Column) -> tuple[DataFrame, tuple[np.ndarray, ...]]:
     """A row for each document that may have something to remove: doc_id, key, spans (pos, [first window, end, ...]) and hot
     (pos, n, mz); and the hot windows that repeat: their names, sorted, minimizers and least documents.
@@ -211,7 +201,7 @@ def repeated(docs: DataFrame, symbols: Symbols, kernel, kernel_schema: str, of_v
     known = folded.groupBy("mz").agg(F.sum("k").alias("k"), F.min("one").alias("a"), F.max("one").alias("b"))
     known = known.where(f"a < b OR a = {SEVERAL}L" if symbols.across else "k > 1").select("mz", "k")
     known = common.written(known)  # as a table: Spark can then split what a hot minimizer joins
-    hot = _least(known, symbols.hot, HOT)
+    hot = common.least_hot(known, symbols.hot, HOT)
     found = docs.mapInArrow(_scan(symbols), "mz long, print long, doc_id long, key int, pos int, n int")
     places = common.written(found.join(known, "mz"))
     common.drop(known)
@@ -222,7 +212,7 @@ def repeated(docs: DataFrame, symbols: Symbols, kernel, kernel_schema: str, of_v
     parts = common.written(parts)
     windows = parts.where(F.col("k") >= hot).mapInArrow(_windows(symbols), "mz long, name long, low long, times long, k long")
     windows = common.written(windows.groupBy("mz", "name").agg(F.min("low").alias("low"), F.sum("times").alias("times"), F.max("k").alias("k")).where("times > 1"))
-    hot = _least(windows, hot, symbols.bound)
+    hot = common.least_hot(windows, hot, symbols.bound)
     table = windows.where(F.col("k") >= hot).select("name", "mz", "low").toArrow()  # symbols.bound at most
     common.drop(windows)
     name, mz, low = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("name", "mz", "low"))

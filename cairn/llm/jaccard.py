@@ -36,6 +36,8 @@ BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
 FEW = 32
 #: How many fragments more than the largest difference, in per cent, in the first and the second cut.
 COARSE, FINE = 15, 150
+#: Copies that make a set hot, at least, and hot sets at most.
+HOT_COPIES, HOT_SETS = 64, 1 << 14
 NULL_IDS = common.NULL_IDS
 A, B, C = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -201,13 +203,24 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def _matched(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows left join table (one row for each key). Rows with keys of `hot`, which is bounded, get theirs by broadcast: no
+    group of copies meets in a task."""
+    few = hot.select(*keys).distinct()
+    warm = rows.join(F.broadcast(few.join(table, keys, "left")), keys)
+    return rows.join(F.broadcast(few), keys, "left_anti").join(table, keys, "left").unionByName(warm)
+
+
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", text_column: str = "text", block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS, hot_copies: int = HOT_COPIES) -> DataFrame:
     """id_column, n_shingles, component_id, a row for each row of docs; two link when den * intersection >= num * union."""
     own = docs.select(common.own_id(id_column, text_column).alias("doc"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     sets = common.written(own.mapInArrow(_scan(n, num, den, COARSE), f"doc long, n long, s1 long, s2 long, {MARKS}"))
-    same = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
+    same = common.written(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"), F.count("*").alias("k")))
+    hot = common.written(same.where(F.col("k") >= common.least_hot(same, hot_copies, HOT_SETS)))
     # One row for each distinct set; its least id stands for all of them.
-    named = common.written(sets.select("doc", "n", "s1", "s2").join(same, ["n", "s1", "s2"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
+    named = _matched(sets.select("doc", "n", "s1", "s2"), same.drop("k"), ["n", "s1", "s2"], hot)
+    named = common.written(named.select("doc", "n", F.coalesce("rep", "doc").alias("rep")))
+    common.drop(same)
     firsts = named.where("n > 0 AND doc = rep").select("doc").distinct()
     coarse = prune(sets.select("doc", "marks"))  # copies too: they fold by signature, which costs less than to join them out
     common.drop(sets)
@@ -227,7 +240,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_column:
     members = members.select("doc", "text", "cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     dealt = members.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "doc")
     found = components(dealt.mapInArrow(_verify(n, num, den), "a long, b long"))
-    joined = named.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
+    joined = _matched(named, found.withColumnRenamed("node", "rep"), ["rep"], hot).select("doc", "n", F.coalesce("component", "rep").alias("component"))
     blank = lambda c: F.when(F.col(c) < NULL_IDS, F.col(c))
     return joined.select(blank("doc").alias(id_column), F.col("n").alias("n_shingles"), blank("component").alias("component_id"))
 

@@ -71,8 +71,8 @@ def brute_components(rows, n, num):
 def test_jaccard_components(spark):
     docs = fixture.documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    for n, num, blocks in ((4, 85, 512), (5, 80, 2), (1, 50, 512)):
-        got = jaccard.join(docs, n, num, 100, block_sets=blocks).collect()
+    for n, num, blocks, copies in ((4, 85, 512, 64), (5, 80, 2, 2), (1, 50, 512, 3)):
+        got = jaccard.join(docs, n, num, 100, block_sets=blocks, hot_copies=copies).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, n, num)
     assert jaccard.join(fixture.empty(spark)).count() == 0
     assert jaccard.join(fixture.with_null_id(spark)).where("doc_id is null").count() == 2
