@@ -12,7 +12,7 @@ from cairn.params import DEFAULT
 
 SIDE = 64
 #: For small rasters: components of 50 cells stay.
-SMALL = DEFAULT.with_(min_component_pixels=50, mask_sigma=2.0, dem_sigma=1.5)
+SMALL = DEFAULT.with_(min_component_pixels=50)
 GRID = "SELECT cast(l_orderkey % 64 AS int) AS row, cast(l_partkey % 64 AS int) AS col, count(*) AS n, cast(floor(max(l_extendedprice)) AS bigint) % 3000 - 500 AS z FROM lineitem GROUP BY 1, 2"
 
 _POINTS = {

@@ -303,7 +303,7 @@ def blur_sql(source: str, out: str, columns: dict[str, str], sigma: float, n: in
 {out} AS (SELECT f.row, f.col, {sums('s')} FROM {full} f CROSS JOIN {out}_w JOIN {out}_1 s ON s.row = f.row AND s.col = {at('f.col')} GROUP BY f.row, f.col)"""
 
 
-MASKED_BLUR = GRIDDED + ", land AS (SELECT row, col, CASE WHEN n % 5 < 3 THEN z::DOUBLE END AS z FROM grid),\n" + blur_sql("land", "bl", {"zs": "coalesce(s.z, 0)", "ws": "CASE WHEN s.z IS NULL THEN 0 ELSE 1 END"}, 1.5)
+MASKED_BLUR = GRIDDED + ", land AS (SELECT row, col, CASE WHEN n % 5 < 3 THEN z::DOUBLE END AS z FROM grid),\n" + blur_sql("land", "bl", {"zs": "coalesce(s.z, 0)", "ws": "CASE WHEN s.z IS NULL THEN 0 ELSE 1 END"}, DEFAULT.dem_sigma)
 
 
 def _land(spark, sf_dir):
@@ -312,12 +312,12 @@ def _land(spark, sf_dir):
 
 @query(MASKED_BLUR + " SELECT row, col, round(ws, 6) AS weight, round(CASE WHEN ws > 0 THEN zs / ws END, 4) AS blurred FROM bl")
 def gaussian_blur_masked(spark, sf_dir):
-    return raster.masked_blur(_land(spark, sf_dir), 1.5).select("row", "col", r6("weight").alias("weight"), r6("blurred", 4).alias("blurred"))
+    return raster.masked_blur(_land(spark, sf_dir), DEFAULT.dem_sigma).select("row", "col", r6("weight").alias("weight"), r6("blurred", 4).alias("blurred"))
 
 
 @query(MASKED_BLUR + " SELECT row, col, round(CASE WHEN z - zs / ws > 50 THEN 0.8 * z + 0.2 * zs / ws ELSE 0.6 * zs / ws + 0.4 * z END, 4) AS z FROM land JOIN bl USING (row, col) WHERE z IS NOT NULL")
 def blend_preserve_peaks(spark, sf_dir):
-    got = raster.masked_blur(_land(spark, sf_dir), 1.5).where("z IS NOT NULL")
+    got = raster.masked_blur(_land(spark, sf_dir), DEFAULT.dem_sigma).where("z IS NOT NULL")
     return got.select("row", "col", r6(raster.blend(F.col("z"), F.col("blurred")), 4).alias("z"))
 
 
@@ -376,7 +376,7 @@ def mosaic_last_wins(spark, sf_dir):
     return raster.mosaic([cells.where("col < 40"), cells.where("col >= 24").withColumn("z", F.col("z") + 7)])
 
 
-@query(RECURSIVE + "full_ AS (SELECT r.i::INT AS row, c.i::INT AS col, coalesce(z, 0)::DOUBLE AS z, coalesce(n, 0) AS n FROM range(64) r(i), range(64) c(i) LEFT JOIN grid ON row = r.i AND col = c.i),\nsrc AS (SELECT row, col, CASE WHEN n % 5 < 3 THEN z ELSE 0 END AS z FROM full_),\nm AS (SELECT row, col FROM src WHERE z <> 0),\n" + label_sql("m", "l") + ",\nbig AS (SELECT row, col FROM l WHERE component IN (SELECT component FROM l GROUP BY component HAVING count(*) >= 50)),\n" + HOLES.replace("{mask}", "big") + ",\nhm AS (SELECT row, col, 1 AS one FROM hf),\n" + blur_sql("hm", "mb", {"v": "coalesce(s.one, 0)::DOUBLE"}, 2.0) + ",\nraw AS (SELECT row, col, CASE WHEN v > 0.3 THEN CASE WHEN z <= 0 THEN -50.0 ELSE z END END AS z FROM src JOIN mb USING (row, col)),\n" + blur_sql("raw", "rb", {"zs": "coalesce(s.z, 0)", "ws": "CASE WHEN s.z IS NULL THEN 0 ELSE 1 END"}, 1.5) + " SELECT row, col, round(CASE WHEN z - zs / ws > 50 THEN 0.8 * z + 0.2 * zs / ws ELSE 0.6 * zs / ws + 0.4 * z END, 3) AS z FROM raw JOIN rb USING (row, col) WHERE z IS NOT NULL")
+@query(RECURSIVE + "full_ AS (SELECT r.i::INT AS row, c.i::INT AS col, coalesce(z, 0)::DOUBLE AS z, coalesce(n, 0) AS n FROM range(64) r(i), range(64) c(i) LEFT JOIN grid ON row = r.i AND col = c.i),\nsrc AS (SELECT row, col, CASE WHEN n % 5 < 3 THEN z ELSE 0 END AS z FROM full_),\nm AS (SELECT row, col FROM src WHERE z <> 0),\n" + label_sql("m", "l") + ",\nbig AS (SELECT row, col FROM l WHERE component IN (SELECT component FROM l GROUP BY component HAVING count(*) >= 50)),\n" + HOLES.replace("{mask}", "big") + ",\nhm AS (SELECT row, col, 1 AS one FROM hf),\n" + blur_sql("hm", "mb", {"v": "coalesce(s.one, 0)::DOUBLE"}, DEFAULT.mask_sigma) + ",\nraw AS (SELECT row, col, CASE WHEN v > 0.3 THEN CASE WHEN z <= 0 THEN -50.0 ELSE z END END AS z FROM src JOIN mb USING (row, col)),\n" + blur_sql("raw", "rb", {"zs": "coalesce(s.z, 0)", "ws": "CASE WHEN s.z IS NULL THEN 0 ELSE 1 END"}, DEFAULT.dem_sigma) + " SELECT row, col, round(CASE WHEN z - zs / ws > 50 THEN 0.8 * z + 0.2 * zs / ws ELSE 0.6 * zs / ws + 0.4 * z END, 3) AS z FROM raw JOIN rb USING (row, col) WHERE z IS NOT NULL")
 def smooth_mask_and_dem_pipeline(spark, sf_dir):
     cells = raster.grid(N, N, spark).join(fx.grid(spark, sf_dir), ["row", "col"], "left").select("row", "col", F.when(F.coalesce("n", F.lit(0)) % 5 < 3, F.coalesce("z", F.lit(0))).otherwise(0).cast("double").alias("z"))
     return raster.smooth(cells, N, N, fx.SMALL).where("z IS NOT NULL").select("row", "col", r6("z", 3).alias("z"))
@@ -550,7 +550,7 @@ def coverage_missing_extra(spark, sf_dir):
     return got.withColumns({"coverage_pct": r6("coverage_pct"), "missing_pct": r6("missing_pct")})
 
 
-@query(SHIFTED + ", h AS (SELECT i.feature, f.col - i.col AS dx, f.row - i.row AS dy, count(*) AS covered FROM inside i JOIN foot f ON f.feature = i.feature AND f.col - i.col BETWEEN -3 AND 3 AND f.row - i.row BETWEEN -3 AND 3 GROUP BY 1, 2, 3) SELECT feature, dx::INT AS dx, dy::INT AS dy, covered FROM h QUALIFY row_number() OVER (PARTITION BY feature ORDER BY covered DESC, dx, dy) = 1")
+@query(SHIFTED + ", h AS (SELECT i.feature, f.col - i.col AS dx, f.row - i.row AS dy, count(*) AS covered FROM inside i JOIN foot f ON f.feature = i.feature AND f.col - i.col BETWEEN -30 AND 30 AND f.row - i.row BETWEEN -30 AND 30 GROUP BY 1, 2, 3) SELECT feature, dx::INT AS dx, dy::INT AS dy, covered FROM h QUALIFY row_number() OVER (PARTITION BY feature ORDER BY covered DESC, dx, dy) = 1")
 def alignment_grid_search(spark, sf_dir):
     return checks.best_shift(_cells(spark), _footprint(spark), 30)
 
