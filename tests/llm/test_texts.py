@@ -2,12 +2,14 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, imatch, jaccard, media, mixing, quality, warc
+from cairn.functions import storage
+from cairn.llm import bpe, chat, common, imatch, jaccard, media, mixing, quality, warc
 from cairn.llm.queries import vocabulary
 from tests.llm import fixture
 
@@ -80,6 +82,34 @@ def test_jaccard_components(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, _, c in brute_components(rows, 4, 85)}
 
 
+def test_signatures_are_dealt_in_parts(spark, monkeypatch):
+    """What a query of signatures shuffles is a part of them, for all that meets is the same."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p: p.stat().st_size for d in folders for p in Path(d).rglob("shuffle_*.data")}
+    written, most, got = storage.written, Counter(), {}
+
+    def weighed(df):
+        before = files()
+        table = written(df)
+        if "sig" in df.columns:
+            most[size] = max(most[size], sum(k for p, k in files().items() if p not in before))
+        return table
+
+    monkeypatch.setattr(storage, "CLEANUP", "spark.cairn.keep")
+    monkeypatch.setattr(common, "written", weighed)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for size in (1 << 40, 1):
+            monkeypatch.setattr(jaccard, "PASS_SIGS", size, raising=False)
+            got[size] = Counter(jaccard.join(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert got[1] == got[1 << 40] and len(got[1]) == docs.count()
+    assert 0 < most[1] < most[1 << 40] / 5
+
+
 def test_jaccard_on_long_words(spark):
     bits = [bin(i).count("1") & 1 for i in range(1024)]
     a, b = ("".join(x[i] for i in bits) for x in ("ab", "ba"))  # equal under any polynomial hash modulo 2**64
